@@ -1,0 +1,7 @@
+"""The registered queries of the library's own operators."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+FLAGSHIP = ""
