@@ -50,8 +50,13 @@ def words(text: Column) -> Column:
 
 def bigrams(tokens: Column) -> Column:
     """The distinct adjacent pairs of an array of tokens, each joined by U+0001."""
-    pairs = F.transform(F.sequence(F.lit(1), F.size(tokens) - 1), lambda i: F.concat_ws("\x01", F.get(tokens, i - 1), F.get(tokens, i)))
-    return F.when(F.size(tokens) >= 2, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+
+    def of(t: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(1), F.size(t) - 1), lambda i: F.concat_ws("\x01", F.get(t, i - 1), F.get(t, i)))
+        return F.when(F.size(t) >= 2, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+
+    # bound by a one-element transform, so that the tokens are computed once and not for each pair
+    return F.get(F.transform(F.array(tokens), of), 0)
 
 
 def jaccard(a: Column, b: Column) -> Column:

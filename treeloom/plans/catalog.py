@@ -153,7 +153,7 @@ def order_tree_token_bigrams(spark, sf_dir):
 TAU = 0.7
 _GRAMS = """
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS w FROM documents
-), g AS (SELECT DISTINCT doc_id, w[i] || chr(1) || w[i + 1] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d)
+), g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || chr(1) || w[i + 1])) AS g FROM d
 ), sets AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(2) ORDER BY g)) AS h FROM g GROUP BY doc_id
 ), cls AS (SELECT h, min(doc_id) AS cid, count(*) AS size FROM sets GROUP BY h
 ), reps AS (SELECT cid, n FROM cls JOIN sets ON sets.doc_id = cid
@@ -482,7 +482,7 @@ def conversation_added_removed(spark, sf_dir):
     return p.select("conv_id", "t", F.size(F.array_except("f", "s")).cast("long").alias("n_removed"), F.size(F.array_except("s", "f")).cast("long").alias("n_added"))
 
 
-_DOC_GRAMS = "SELECT DISTINCT {k}, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] AS g FROM (SELECT {k}, w, unnest(range(1, len(w) - 3)) AS i FROM (SELECT {k}, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM {t}))"
+_DOC_GRAMS = "SELECT DISTINCT {k}, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM (SELECT {k}, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM {t})"
 
 
 @query(f"WITH d AS ({_DOC_GRAMS.format(k='doc_id', t='documents')}), b AS ({_DOC_GRAMS.format(k='item_id', t='benchmark')}) SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b USING (g) GROUP BY ALL")
@@ -497,7 +497,7 @@ def passage_overlap_pairs(spark, sf_dir):
     return grams(read(spark, sf_dir, "documents"), "doc_id").join(grams(read(spark, sf_dir, "benchmark"), "item_id"), "g").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_shared"))
 
 
-@query("SELECT label, count(*) AS n, round(avg(list_cosine_similarity(embedding, c)), 5) AS mean_cosine FROM embeddings JOIN (SELECT label, [avg(embedding[1]), avg(embedding[2]), avg(embedding[3])]::FLOAT[] AS c3 FROM embeddings GROUP BY label) USING (label), (SELECT embedding AS c FROM embeddings WHERE vec_id = 0) GROUP BY label")
+@query("SELECT label, count(*) AS n, round(avg(list_cosine_similarity(embedding::DOUBLE[], c::DOUBLE[])), 5) AS mean_cosine FROM embeddings, (SELECT embedding AS c FROM embeddings WHERE vec_id = 0) GROUP BY label")
 def vector_cosine_by_label(spark, sf_dir):
     """Mean cosine of each label's vectors with vector 0."""
     e = read(spark, sf_dir, "embeddings")
