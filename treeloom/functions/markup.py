@@ -5,6 +5,7 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Script types that run, and tags that wrap a page.
@@ -60,8 +61,18 @@ def category(html: str | None) -> str:
     return "external_only" if p.external else "inline_only" if p.inline else "empty"
 
 
-@F.pandas_udf("struct<category:string,n_inline:long,n_external:long,inline_chars:long>")
-def page_scripts(html: pd.Series) -> pd.DataFrame:
+def page_scripts(html: Column) -> Column:
+    """Category, numbers of inline and external scripts, and characters of inline code."""
+    # made at call time: a module can be imported before there is a session
+    return F.pandas_udf(_scripts, "struct<category:string,n_inline:long,n_external:long,inline_chars:long>")(html)
+
+
+def markup_nodes(html: Column) -> Column:
+    """Flat preorder nodes of a page's elements."""
+    return F.pandas_udf(_nodes, "array<struct<idx:int,begin:int,name:string,parent_idx:int>>")(html)
+
+
+def _scripts(html: pd.Series) -> pd.DataFrame:
     rows = []
     for h in html:
         p = parse(h)
@@ -69,9 +80,8 @@ def page_scripts(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["category", "n_inline", "n_external", "inline_chars"])
 
 
-@F.pandas_udf("array<struct<idx:int,begin:int,name:string,parent_idx:int>>")
-def markup_nodes(html: pd.Series) -> pd.Series:
-    """Flat preorder nodes of a page's elements (void and unclosed tags end with their parent)."""
+def _nodes(html: pd.Series) -> pd.Series:
+    """Void and unclosed tags end with their parent."""
     void = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
     class Tree(HTMLParser):

@@ -430,12 +430,12 @@ def page_hosts_topk(spark, sf_dir):
 
 @query()
 def page_script_classes(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", markup.page_scripts("html").alias("s")).select("page_id", "s.*")
+    return read(spark, sf_dir, "pages").select("page_id", markup.page_scripts(F.col("html")).alias("s")).select("page_id", "s.*")
 
 
 @query()
 def page_markup_nodes(spark, sf_dir):
-    got = read(spark, sf_dir, "pages").select("page_id", F.explode(markup.markup_nodes("html")).alias("n"))
+    got = read(spark, sf_dir, "pages").select("page_id", F.explode(markup.markup_nodes(F.col("html"))).alias("n"))
     return got.select("page_id", "n.*")
 
 
@@ -450,7 +450,7 @@ PAGE_PATTERNS = [
 @query()
 def page_pattern_matches(spark, sf_dir):
     """Declarative tree patterns over the element trees of all pages."""
-    pages = read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("code"), markup.markup_nodes("html").alias("n"))
+    pages = read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("code"), markup.markup_nodes(F.col("html")).alias("n"))
     # a node's path follows from its parent's, which stands before it
     paths = F.aggregate("n", F.array().cast("array<array<int>>"), lambda acc, x: F.concat(acc, F.array(F.when(x["parent_idx"] < 0, F.array().cast("array<int>")).otherwise(F.concat(F.get(acc, x["parent_idx"]), F.array(x["parent_idx"]))))))
     made = pages.withColumn("paths", paths).withColumn("nodes", F.transform("n", lambda x, i: F.struct(x["name"].alias("name"), x["name"].alias("value"), x["begin"].alias("begin"), x["begin"].alias("end"), F.get(F.col("paths"), i).alias("parent"))))
