@@ -60,7 +60,8 @@ def normalised(text: Column) -> Column:
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id`` and ``matches``: array of (``license``, ``dice``, ``unit`` text) of every unit and template that reach ``threshold``."""
     bags = template_bags(templates)
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    # the bounds are a little wide, so that rounding prunes no unit that lies on one
+    low, high = threshold / (2 - threshold) - 1e-9, (2 - threshold) / threshold + 1e-9
     sizes = [len(b) for b in bags.values()]
     least, most = min(sizes) * low, max(sizes) * high
     tpl = F.array(*[F.struct(F.lit(k).alias("id"), F.array(*map(F.lit, b)).alias("bag"), F.lit(len(b)).alias("n")) for k, b in bags.items()])

@@ -216,7 +216,7 @@ FROM m LEFT JOIN fences ON m.lang IS NOT DISTINCT FROM fences.lang AND m.source
 
 
 def _op10_sql() -> str:
-    low, high = licenses.THRESHOLD / (2 - licenses.THRESHOLD), (2 - licenses.THRESHOLD) / licenses.THRESHOLD
+    low, high = licenses.THRESHOLD / (2 - licenses.THRESHOLD) - 1e-9, (2 - licenses.THRESHOLD) / licenses.THRESHOLD + 1e-9
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     tpl = " UNION ALL ".join(f"SELECT {quote(k)} AS license, [{', '.join(map(quote, b))}] AS bag" for k, b in licenses.template_bags().items())
     return rf"""
