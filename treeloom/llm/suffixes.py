@@ -276,6 +276,25 @@ def repeated_strings(snippets: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarra
     return group[whole], row[whole] * SPAN + place[whole]
 
 
+def _row_hashes(rows: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every snippet."""
+    mixed = np.zeros(len(rows), np.uint64)
+    words = rows.view(np.uint64)
+    for k, w in enumerate(_WORDS):
+        mixed = (mixed ^ (words[:, k] * w)) * _BASE
+        mixed ^= mixed >> np.uint64(31)
+    return mixed
+
+
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct rows, number of each row among them): by hash, verified, and by content if two contents share a hash."""
+    _, place, back = np.unique(_row_hashes(rows), return_index=True, return_inverse=True)
+    if np.array_equal(rows[place][back], rows):
+        return rows[place], back
+    exact, back = np.unique(rows.view(f"V{WIDEST}").ravel(), return_inverse=True)
+    return exact.view(np.uint8).reshape(-1, WIDEST), back
+
+
 def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
     """One shard's answer to each block: which of its hashes another block holds too, or the block itself twice."""
     parts = [np.frombuffer(x, np.uint8).reshape(-1, 7) for x in pdf.hashes]
@@ -295,12 +314,12 @@ def _judged(pdf: pd.DataFrame) -> pd.DataFrame:
     sizes = np.concatenate([np.frombuffer(x, np.uint8) for x in pdf.sizes]).astype(np.int64)
     docs = np.concatenate([np.frombuffer(x, np.int64) for x in pdf.docs])
     rows = np.concatenate(parts)
-    distinct, back = np.unique(rows.view(f"V{WIDEST}").ravel(), return_inverse=True)
+    distinct, back = _distinct(rows)
     least = np.full(len(distinct), np.iinfo(np.int64).max)
     np.minimum.at(least, back, docs)
     size = np.zeros(len(distinct), np.int64)
     size[back] = sizes
-    group, cell = repeated_strings(distinct.view(np.uint8).reshape(-1, WIDEST), size)
+    group, cell = repeated_strings(distinct, size)
     first = np.full(len(distinct) * SPAN, np.iinfo(np.int64).max)
     if len(group):
         cut = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
@@ -349,12 +368,9 @@ class _Block:
         room = np.concatenate([self.data, np.full(WIDEST, PAD, np.uint8)])
         rows = room[first[:, None] + np.arange(WIDEST)] if len(pick) else np.zeros((0, WIDEST), np.uint8)
         rows[np.arange(WIDEST)[None, :] >= size[:, None]] = PAD
-        mixed = np.zeros(len(rows), np.uint64)
-        for k, w in enumerate(_WORDS):
-            word = rows.view(np.uint64)[:, k]
-            mixed = (mixed ^ (word * w)) * _BASE
-            mixed ^= mixed >> np.uint64(31)
-        _, place, own = np.unique(mixed, return_index=True, return_inverse=True)
+        _, own = _distinct(rows)
+        place = np.zeros(int(own.max()) + 1 if len(own) else 0, np.int64)
+        place[own] = np.arange(len(own))
         # documents are looked up by the string's first byte (empty ones share their start with the next)
         ids = np.array([np.iinfo(np.int64).max if x is None else x for x in self.ids], np.int64)
         doc = ids[np.searchsorted(self.ends, first, side="right")] if len(pick) else np.zeros(0, np.int64)
