@@ -260,3 +260,22 @@ def test_licenses(spark):
             want |= {(k, round(2 * len(b & set(v)) / (len(b) + len(v)), 9)) for k, v in bags.items() if b and 2 * len(b & set(v)) / (len(b) + len(v)) >= 0.8}
         assert got[i] == want, i
     assert any(k == "mit" for k, _ in got[len(HARD)]) and got[len(HARD) + 1]
+
+
+def test_snippets_that_agree_beyond_their_own_end():
+    # the common prefix of rows 0 and 2 runs on into rows 1 and 3, past the length that is compared
+    g = np.random.default_rng(1)
+    tail, head = g.integers(97, 123, 40), g.integers(97, 123, 60)
+    parts = [np.r_[g.integers(97, 123, 20), tail], np.r_[head, [97]], np.r_[g.integers(97, 123, 20), tail], np.r_[head, [98]]]
+    rows = np.full((4, suffixes.WIDEST), suffixes.PAD, np.uint8)
+    for k, x in enumerate(parts):
+        rows[k, : len(x)] = x
+    group, cell = suffixes.repeated_strings(rows, np.array([len(x) for x in parts]))
+    got = {}
+    for a, b in zip(group.tolist(), cell.tolist()):
+        got.setdefault(a, set()).add(b)
+    want = {}
+    for k, x in enumerate(parts):
+        for i in range(len(x) - suffixes.LENGTH + 1):
+            want.setdefault(rows[k, i : i + suffixes.LENGTH].tobytes(), set()).add(k * suffixes.SPAN + i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))

@@ -231,10 +231,12 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     return _induce(t, symbols, lms)
 
 
-def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
+def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int, begin: np.ndarray) -> np.ndarray:
     """For every place its common prefix with the suffix before it in ``sa``, as far as ``most`` symbols matter.
 
     At an irreducible place (the symbols before both differ) the symbols are compared; each later place up to the next one has one less.
+    A comparison ends after ``most`` symbols, so it starts again at every place of ``begin``: a value that was cut off there is carried
+    no further than to the next such place.
     """
     n = len(t)
     phi = np.full(n, -1, np.int64)
@@ -243,6 +245,7 @@ def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     irreducible = (i == 0) | (phi <= 0) | (np.roll(phi, 1) < 0)
     at = i[~irreducible]
     irreducible[at] = t[at - 1] != t[phi[at] - 1]
+    irreducible[begin] = True
     start = np.flatnonzero(irreducible & (phi >= 0))
     common = np.zeros(n, np.int64)
     live = start
@@ -253,7 +256,6 @@ def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
         if not len(live):
             break
         common[live] = d + 1
-    # a place that reached ``most`` has at least that; the derived ones lose one for each step, so they are compared anew where it matters
     lead = np.maximum.accumulate(np.where(irreducible, i, 0))
     return np.where(irreducible, common, np.maximum(common[lead] - (i - lead), 0))
 
@@ -267,7 +269,7 @@ def repeated_strings(snippets: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarra
     t = rows[keep]
     begin = np.r_[0, np.cumsum(sizes + 1)]
     sa = suffix_array(t)
-    common = permuted_prefixes(t, sa, WIDEST + 1)[sa]
+    common = permuted_prefixes(t, sa, WIDEST + 1, begin[:-1])[sa]
     row = np.searchsorted(begin, sa, side="right") - 1
     place = sa - begin[row]
     # strings that agree in 50 bytes are neighbours; a shorter common prefix anywhere between parts them
