@@ -118,21 +118,32 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
 
 
 def _doubled(t: np.ndarray) -> np.ndarray:
-    """Suffix array of a string of large numbers by prefix doubling."""
+    """Suffix array of a string of large numbers by prefix doubling.
+
+    A suffix's rank is the number of suffixes in smaller groups; only groups of two or more are sorted again.
+    """
     n = len(t)
-    rank = np.unique(t, return_inverse=True)[1].astype(np.int64)
+    order = np.argsort(t)
+    ts = t[order]
+    head = np.flatnonzero(np.r_[True, ts[1:] != ts[:-1]])
+    rank = np.empty(n + 1, np.int64)
+    rank[order] = np.repeat(head, np.diff(np.r_[head, n]))
+    rank[n] = -1
+    size = np.diff(np.r_[head, n])
+    live = np.flatnonzero(np.repeat(size > 1, size))  # places in ``order`` of the groups left
     k = 1
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: n - k] = rank[k:] + 1
-        key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
-        ks = key[order]
-        step = np.r_[0, (ks[1:] != ks[:-1]).astype(np.int64)]
-        rank[order] = np.cumsum(step)
-        if rank[order[-1]] == n - 1:
-            return order
+    while len(live):
+        at = order[live]
+        key = rank[at] * (n + 2) + rank[np.minimum(at + k, n)] + 1
+        by = np.argsort(key)
+        at, key = at[by], key[by]
+        order[live] = at
+        head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[head, len(live)])
+        rank[at] = np.repeat(live[head], size)
+        live = live[np.repeat(size > 1, size)]
         k *= 2
+    return order
 
 
 def _deal(j: np.ndarray, c: np.ndarray, pend: list[list[np.ndarray]]) -> None:
@@ -246,16 +257,24 @@ def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int, begin: np.ndarra
     at = i[~irreducible]
     irreducible[at] = t[at - 1] != t[phi[at] - 1]
     irreducible[begin] = True
-    start = np.flatnonzero(irreducible & (phi >= 0))
+    # eight symbols are compared at once, as one word with the first symbol lowest; beyond the end both sides differ in length
+    word = np.concatenate([t, np.zeros(most + 15, np.uint8)]).astype(np.uint64)
+    for k in (1, 2, 4):
+        word = word[:-k] | word[k:] << np.uint64(8 * k)
     common = np.zeros(n, np.int64)
-    live = start
-    padded = np.concatenate([t, np.full(most, 0, t.dtype)])
-    for d in range(most):
-        live = live[(live + d < n) & (phi[live] + d < n)]
-        live = live[padded[live + d] == padded[phi[live] + d]]
+    live = np.flatnonzero(irreducible & (phi >= 0))
+    other = phi[live]
+    for d in range(0, most, 8):
+        apart = word[live + d] ^ word[other + d]
+        here = apart != 0
+        low = apart[here]
+        low &= ~low + np.uint64(1)
+        common[live[here]] = d + (np.log2(low.astype(np.float64)).astype(np.int64) >> 3)
+        live, other = live[~here], other[~here]
         if not len(live):
             break
-        common[live] = d + 1
+    common[live] = most
+    np.minimum(common, np.minimum(most, n - np.maximum(i, phi)), out=common)
     lead = np.maximum.accumulate(np.where(irreducible, i, 0))
     return np.where(irreducible, common, np.maximum(common[lead] - (i - lead), 0))
 
@@ -270,7 +289,7 @@ def repeated_strings(snippets: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarra
     begin = np.r_[0, np.cumsum(sizes + 1)]
     sa = suffix_array(t)
     common = permuted_prefixes(t, sa, WIDEST + 1, begin[:-1])[sa]
-    row = np.searchsorted(begin, sa, side="right") - 1
+    row = np.repeat(np.arange(m), sizes + 1)[sa]
     place = sa - begin[row]
     # strings that agree in 50 bytes are neighbours; a shorter common prefix anywhere between parts them
     group = np.cumsum(common < LENGTH)
@@ -350,7 +369,7 @@ class _Block:
         self.hash, self.where = np.unique(h, return_inverse=True)
         self.twice = np.bincount(self.where, minlength=len(self.hash)) > 1
         self.shard = (self.hash % np.uint64(shards)).astype(np.int64)
-        self.order = np.argsort(self.shard, kind="stable")
+        self.order = np.argsort(self.shard.astype(np.uint16) if shards <= 1 << 16 else self.shard, kind="stable")
 
     def by_shard(self) -> Iterator[tuple[int, np.ndarray]]:
         """(shard, places in ``hash``)."""
@@ -368,7 +387,7 @@ class _Block:
         pick = np.flatnonzero(shared[self.where]) if len(self.where) else np.zeros(0, np.int64)
         first, size = self.first[pick], self.last[pick] - self.first[pick] + LENGTH
         room = np.concatenate([self.data, np.full(WIDEST, PAD, np.uint8)])
-        rows = room[first[:, None] + np.arange(WIDEST)] if len(pick) else np.zeros((0, WIDEST), np.uint8)
+        rows = np.lib.stride_tricks.sliding_window_view(room, WIDEST)[first]
         rows[np.arange(WIDEST)[None, :] >= size[:, None]] = PAD
         _, own = _distinct(rows)
         place = np.zeros(int(own.max()) + 1 if len(own) else 0, np.int64)
