@@ -31,6 +31,7 @@ import os
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import sentencepiece
@@ -64,6 +65,7 @@ def load_model(path: str = MODEL) -> dict:
     return {"pieces": pieces, "bytes": byte_ids, "key": hashlib.sha256(sp.serialized_model_proto()).hexdigest()}
 
 
+_NONE: dict[int, bool] = {}
 State = tuple[int, int]  # characters before the boundary, characters beyond it; (0, 0): a text's start
 Matrix = dict[State, dict[State, float]]
 
@@ -104,9 +106,15 @@ class Coder:
         self._shorter: list[int] = []
         for p in sorted({*alphabet, *filter(self.whole, self.pieces)}, key=len):
             self._add(p)
-        #: every beginning of such a piece -> the piece's number, or -1 where it isn't one
-        self._starts: dict[str, int] = {p[:n]: -1 for p in self._number for n in range(1, len(p))} | self._number
-        self._pairs: dict[int, bool] = {}
+        #: every beginning of such a piece -> the number of the longest piece that begins it
+        self._starts: dict[str, int] = dict(self._number)
+        for p in list(self._number):
+            for n in range(1, len(p)):
+                if p[:n] not in self._starts:
+                    self._starts[p[:n]] = max((self._number[p[:b]] for b in range(1, n) if p[:b] in self._number), key=self._length.__getitem__)
+        #: by number of the first piece: number of the second -> do both fit
+        self._pairs: dict[int, dict[int, bool]] = {}
+        self._known = 0
         #: words met lately, and those of the time before
         self._cache: dict[str, list[int]] = {}
         self._older: dict[str, list[int]] = {}
@@ -200,38 +208,45 @@ class Coder:
         n, begins, pairs, length, shorter = len(w), self._starts.get, self._pairs, self._length, self._shorter
         path: list[int] = []  # numbers of the pieces so far
         dead: set[int] = set()
-        at, prev, k = 0, -1, -2
+        at, prev, k, row = 0, -1, -2, _NONE
         while at < n:
-            if k == -2:  # the longest piece that starts here
-                k, b = -1, at + 1
-                while b <= n:
-                    x = begins(w[at:b])
-                    if x is None:
-                        break
-                    if x >= 0:
+            if k == -2:  # the longest piece that starts here; beginnings of beginnings are known, so the search starts in the middle
+                k = begins(w[at : at + 4])
+                if k is not None:
+                    for b in range(at + 5, n + 1):
+                        x = begins(w[at:b])
+                        if x is None:
+                            break
                         k = x
-                    b += 1
-                if k < 0:
-                    k = self._add(w[at])
+                else:
+                    for b in (at + 3, at + 2, at + 1):
+                        k = begins(w[at:b])
+                        if k is not None:
+                            break
+                    else:
+                        k = self._add(w[at])
             while k >= 0:
                 b = at + length[k]
                 if not (dead and b in dead):
                     if prev < 0:
                         break
-                    ok = pairs.get(prev << 32 | k)
+                    ok = row.get(k)
                     if ok is None:
-                        ok = self._pair(w[at - length[prev] : at], w[at:b], prev << 32 | k)
+                        ok = self._pair(w[at - length[prev] : at], w[at:b], prev, k)
+                        row = pairs[prev]
                     if ok:
                         break
                 k = shorter[k]
             if k >= 0:
                 path.append(k)
                 at, prev, k = b, k, -2
+                row = pairs.get(prev, _NONE)
             elif path:  # nothing fits: this place is dead; try a shorter piece at the place before
                 dead.add(at)
                 last = path.pop()
                 at -= length[last]
                 prev, k = path[-1] if path else -1, shorter[last]
+                row = pairs.get(prev, _NONE)
             else:
                 raise AssertionError("no path through a word")
         out: list[int] = []
@@ -250,10 +265,12 @@ class Coder:
             self._shorter.append(next((self._number[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in self._number), -1))
         return k
 
-    def _pair(self, a: str, b: str, key: int) -> bool:
-        if len(self._pairs) > 8 * CACHE:
+    def _pair(self, a: str, b: str, first: int, second: int) -> bool:
+        if self._known > 8 * CACHE:
             self._pairs.clear()
-        ok = self._pairs[key] = self.merged(a + b) == [a, b]
+            self._known = 0
+        ok = self._pairs.setdefault(first, {})[second] = self.merged(a + b) == [a, b]
+        self._known += 1
         return ok
 
     def word(self, w: str) -> list[int]:
@@ -474,7 +491,9 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
         for batch in batches:
             for lo in range(0, max(1, batch.num_rows), 512):
                 part = batch.slice(lo, 512)
-                out = [coder.decode(x or ()) for x in part.column("ids").to_pylist()]
+                ids = part.column("ids")
+                flat, ends = ids.flatten().to_pylist(), np.cumsum([0, *ids.value_lengths().fill_null(0).to_pylist()]).tolist()
+                out = [coder.decode(flat[a:b]) for a, b in zip(ends, ends[1:])]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), part.column("ids"), pa.array(out, pa.string())], names=["doc_id", "text", "ids", "decoded"])
 
     return encoded.select("doc_id", "text", "ids").mapInArrow(work, "doc_id long, text string, ids array<int>, decoded string")
