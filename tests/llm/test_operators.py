@@ -77,6 +77,8 @@ def test_pieces_match_the_library(spark):
     texts = [t for t in HARD] + ["".join(rnd.choice(al) for _ in range(rnd.randint(1, 900))) for al in ("theaniro ", "  \n\tab", "日本語é①😀 x", "aaab", "()[]=;. 12") for _ in range(4)]
     # a small chunk sends most of them through the parallel scan
     got = {r.doc_id: (r.ids, r.decoded) for r in pieces.decode(pieces.encode(docs_of(spark, texts), chunk=200)).collect()}
+    fused = {r.doc_id: (r.ids, r.decoded) for r in pieces.encode(docs_of(spark, texts), chunk=200, decoded=True).collect()}
+    assert fused == got
     for k, t in enumerate(texts):
         assert got[k][0] == sp.encode(t or "")
         assert got[k][1] == (t or "")

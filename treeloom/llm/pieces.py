@@ -419,8 +419,12 @@ def coder_of(model: dict) -> Coder:
     return _CODERS[model["key"]]
 
 
-def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
-    """``doc_id``, ``text`` and ``ids`` (array of int) of every row of ``docs``."""
+def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, decoded: bool = False) -> DataFrame:
+    """``doc_id``, ``text`` and ``ids`` (array of int) of every row of ``docs``.
+
+    With ``decoded`` also that column of ``decode``, from the ids; a text of one chunk is then decoded by the worker that encodes it,
+    which spares a second worker for each task and a second way of every text to and fro.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(load_model(model))
     docs = docs.select("doc_id", "text")
@@ -431,9 +435,12 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
             for lo in range(0, max(1, batch.num_rows), 512):
                 part = batch.slice(lo, 512)
                 ids = [coder.encode(prepared(t.as_py())) for t in part.column("text")]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "text", "ids"])
+                cols = [part.column("doc_id"), part.column("text"), pa.array(ids, pa.list_(pa.int32()))]
+                if decoded:
+                    cols.append(pa.array([coder.decode(x) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text", "ids", "decoded"][: len(cols)])
 
-    schema = "doc_id long, text string, ids array<int>"
+    schema = "doc_id long, text string, ids array<int>" + (", decoded string" if decoded else "")
     small = docs.where(F.coalesce(F.length("text"), F.lit(0)) < chunk).mapInArrow(one_chunk, schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -479,7 +486,8 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
     found = chunks.mapInArrow(matrices, "uid long, k int, m array<int>").groupBy("uid").applyInPandas(states, "uid long, k int, io array<int>")
     traced = chunks.join(found, ["uid", "k"]).select("uid", "k", "s", "lo", "hi", "io").mapInArrow(trace, "uid long, k int, ids array<int>")
     joined = traced.groupBy("uid").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return small.unionByName(giant.join(joined, "uid").select("doc_id", "text", "ids"))
+    whole = giant.join(joined, "uid").select("doc_id", "text", "ids")
+    return small.unionByName(decode(whole, model) if decoded else whole)
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:

@@ -24,7 +24,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = pieces.decode(pieces.encode(table(spark, sf_dir, "documents")))
+    got = pieces.encode(table(spark, sf_dir, "documents"), decoded=True)
     return got.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
