@@ -282,3 +282,30 @@ def test_snippets_that_agree_beyond_their_own_end():
         for i in range(len(x) - suffixes.LENGTH + 1):
             want.setdefault(rows[k, i : i + suffixes.LENGTH].tobytes(), set()).add(k * suffixes.SPAN + i)
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_licenses_inside_other_words(spark):
+    pad = " ".join(f"several{k} words{k} that{k} stand{k} before{k} and{k} after{k} the{k} notice{k}" for k in range(9))
+    header = licenses.TEMPLATES["apache-2.0-header"]
+    cut = [header.index("You may obtain"), header.index("Unless required")]
+    parts = "\n\n".join((header[: cut[0]], header[cut[0] : cut[1]], header[cut[1] :]))
+    gpl = licenses.TEMPLATES["gpl-3.0-header"].replace(" GNU", "\nGNU")
+    texts = [
+        "This small library is fast and well tested. Released under the MIT License. Contact the maintainers by mail.",
+        f"Copyright 2020 A Name\n\n{parts}\n\nbody\n{pad}\n{pad}\n{pad}",
+        f"Copyright 2021 {pad}\n{gpl}\n{pad} {pad}",
+        f"{pad} {licenses.TEMPLATES['mpl-2.0']} {pad}\n\n{pad} Released\nunder\n\nthe MIT License. {pad}",
+        f"{pad} the license of the source code is under another license {pad}",
+        f"{pad} released under the mit",
+    ]
+    got = {r.doc_id: {m.license: m for m in r.matches} for r in licenses.scan_licenses(docs_of(spark, texts)).collect()}
+    assert [set(got[k]) for k in range(len(texts))] == [{"mit"}, {"apache-2.0-header"}, {"gpl-3.0-header"}, {"mpl-2.0", "mit"}, set(), set()]
+    assert got[0]["mit"].unit == "released under the mit license"
+    assert [got[k][name].dice for k, name in ((0, "mit"), (1, "apache-2.0-header"), (2, "gpl-3.0-header"), (3, "mpl-2.0"), (3, "mit"))] == [1] * 5
+
+
+def test_license_anchors_are_in_every_match():
+    bags = licenses.template_bags()
+    anchors = set(licenses.anchor_words(bags))
+    for bag in bags.values():
+        assert sum(not anchors & set(b.split()) for b in bag) < len(bag) * licenses.THRESHOLD / (2 - licenses.THRESHOLD)

@@ -6,6 +6,20 @@ with a template of ``b`` only if ``a`` lies between ``b * t / (2 - t)`` and
 ``b * (2 - t) / t``; templates outside these bounds are not compared, and units
 outside the bounds of all templates aren't cut into bigrams.
 
+A notice can share its line with other words or be wrapped and split by blank
+lines, so a template that none of these units matches is sought in windows of
+the whole text's words, whatever its lines: from the template's length up to
+the upper bound times that length.  A shorter window would need only two thirds
+of the template.  A bigram of the template at either side of a window raises
+its coefficient, so windows start and end where runs of such bigrams do (or at
+the least length, or the text's end); the best window is the match.  It is left
+out if it is a part of a longer notice's match: lies in its unit and shares
+only bigrams that the longer template has too.
+
+A match shares at least ``b * t / (2 - t)`` bigrams with its template.  So
+rows that hold none of the words of :func:`anchor_words` can't match and are not
+cut at all, and templates of which a row holds too few bigrams get no windows.
+
 Everything is one projection over a row: no shuffle, no join, no skew.
 
 Edge cases: a null or empty text has no units and no match; ties go to the
@@ -16,6 +30,8 @@ get their row; extra columns are not read; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,32 +60,67 @@ TEMPLATES = {
 _SEPARATORS = r"[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
+def _words(text: str) -> list[str]:
+    return re.sub(_SEPARATORS, " ", text.lower()).split()
+
+
 def template_bags(templates: dict[str, str] = TEMPLATES) -> dict[str, list[str]]:
     """The distinct word bigrams of every template, in order."""
     out = {}
     for name, text in sorted(templates.items()):
-        words = re.sub(_SEPARATORS, " ", text.lower()).split()
+        words = _words(text)
         out[name] = list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))
     return out
 
 
+#: Words too common to tell a licence by; they are anchors only where a template has no others.
+_COMMON = frozenset("a above all an and any are as at basis be by can code copies copy deal do file files following for free from general in into is it may no not of on or other such that the this to under was which will with without you your 0 1 2 3 4".split())
+
+
+def anchor_words(bags: dict[str, list[str]], threshold: float = THRESHOLD) -> list[str]:
+    """Words of which every match of any template holds at least one: too few bigrams to match are without them."""
+    low, chosen = threshold / (2 - threshold) - 1e-9, set()
+    for bag in sorted(bags.values(), key=len):
+        free = [b.split(" ") for b in bag if not chosen & set(b.split(" "))]
+        while free and len(free) >= len(bag) * low:
+            count = Counter(w for b in free for w in set(b))
+            best = min(count, key=lambda w: (w in _COMMON, -count[w], w))
+            chosen.add(best)
+            free = [b for b in free if best not in b]
+    return sorted(chosen)
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def literal_words(words: list[str]) -> Column:
+    """An array literal; ``words`` hold no new line."""
+    return F.split(F.lit("\n".join(words)), "\n", -1)
+
+
 def normalised(text: Column) -> Column:
     return F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), _SEPARATORS, " ")
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id`` and ``matches``: array of (``license``, ``dice``, ``unit`` text) of every unit and template that reach ``threshold``."""
+    """``doc_id`` and ``matches``: array of (``license``, ``dice``, ``unit`` text) of every unit and template that reach ``threshold``, and of the best window of a template that no unit matches."""
     bags = template_bags(templates)
     # the bounds are a little wide, so that rounding prunes no unit that lies on one
     low, high = threshold / (2 - threshold) - 1e-9, (2 - threshold) / threshold + 1e-9
     sizes = [len(b) for b in bags.values()]
     least, most = min(sizes) * low, max(sizes) * high
-    tpl = F.array(*[F.struct(F.lit(k).alias("id"), F.array(*map(F.lit, b)).alias("bag"), F.lit(len(b)).alias("n")) for k, b in bags.items()])
+    spans = {k: len(_words(text)) - 1 for k, text in templates.items()}
+    tpl = F.array(*[F.struct(F.lit(k).alias("id"), literal_words(b).alias("bag"), F.lit(len(b)).alias("n"), F.lit(spans[k]).alias("span")) for k, b in bags.items()])
+    known = literal_words(sorted({x for b in bags.values() for x in b}))
+    anchors = r"[ \n](?:" + "|".join(map(re.escape, anchor_words(bags, threshold))) + r")[ \n]"
     norm = F.col("norm")
     units = F.array_distinct(F.transform(F.concat(F.split(norm, "\n", -1), F.transform(F.split(norm, r"\n *\n[ \n]*", -1), lambda p: F.translate(p, "\n", " ")), F.array(F.translate(norm, "\n", " "))), lambda u: F.btrim(u)))
     # a unit has a blank for each bigram at least, so most are sorted out by their length before they're cut
     words = F.filter(F.transform(F.filter(units, lambda u: F.length(u) > 2 * least), lambda u: F.split(u, " +", -1)), lambda w: (F.size(w) - 1 >= least) & (F.size(w) >= 2))
-    bag = F.transform("words", lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))))
+    grams = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))
+    bag = F.transform("words", lambda w: F.array_distinct(grams(w)))
     in_bounds = lambda b, t: (F.size(b) >= t["n"] * F.lit(low)) & (F.size(b) <= t["n"] * F.lit(high))
     dice = lambda b, t: F.lit(2.0) * F.size(F.array_intersect(b, t["bag"])) / (F.size(b) + t["n"])
     scored = F.flatten(
@@ -81,10 +132,56 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
             ),
         )
     )
+
+    all_words, g = F.col("all_words"), F.col("grams")
+    n_grams = F.size(g)
+
+    def best_window(t: Column) -> Column:
+        """(``dice``, -``size``, -``start``) of the template's best window, null without one."""
+        last = n_grams - t["span"] + 1
+        limit = F.floor(t["span"] * F.lit(high)).cast("int")
+
+        def from_runs(at: Column) -> Column:
+            starts = F.array_distinct(F.transform(F.filter(at, lambda k: ~F.array_contains(at, k - 1)), lambda k: F.least(k, last)))
+            # a start counts if the longest window from it shares enough
+            starts = F.filter(starts, lambda k: F.size(F.array_intersect(F.slice(g, k, limit), t["bag"])) >= t["n"] * F.lit(low))
+            ends = F.filter(at, lambda k: ~F.array_contains(at, k + 1))
+            sized = lambda i: F.array_distinct(F.concat(F.array(t["span"]), F.filter(F.transform(ends, lambda e: e - i + 1), lambda n: (n > t["span"]) & (n <= limit)), F.filter(F.array(limit), lambda n: i + n - 1 <= n_grams)))
+            return F.array_max(F.flatten(F.transform(starts, lambda i: F.transform(sized(i), lambda n: F.struct(let(F.array_distinct(F.slice(g, i, n)), lambda b: dice(b, t)).alias("dice"), (-n).alias("size"), (-i).alias("start"))))))
+
+        return let(F.filter(F.sequence(F.lit(1), n_grams), lambda k: F.array_contains(t["bag"], F.get(g, k - 1))), from_runs)
+
+    # the templates that no unit matches and of which the text holds enough bigrams, for the sought ones only
+    sought = F.filter(
+        F.col("tpl"),
+        lambda t: (n_grams >= t["span"])
+        & (F.size("known") >= t["n"] * F.lit(low))
+        & ~F.exists("by_unit", lambda m: m["license"] == t["id"])
+        & (F.size(F.array_intersect(F.col("known"), t["bag"])) >= t["n"] * F.lit(low)),
+    )
+    windows = F.filter(F.transform(sought, lambda t: F.struct(t.alias("t"), best_window(t).alias("best"))), lambda x: x["best"]["dice"] >= threshold)
+    found = F.transform(
+        windows, lambda x: F.struct(x["t"]["id"].alias("license"), x["best"]["dice"].alias("dice"), F.array_join(F.slice(all_words, -x["best"]["start"], F.lit(1) - x["best"]["size"]), " ").alias("unit"))
+    )
+    the_bag = lambda name: F.get(F.filter(F.col("tpl"), lambda t: t["id"] == name), F.lit(0))["bag"]
+    padded = lambda m: F.concat(F.lit(" "), m["unit"], F.lit(" "))
+    part = lambda m, whole: (
+        (F.size(the_bag(whole["license"])) > F.size(the_bag(m["license"])))
+        & F.contains(padded(whole), padded(m))
+        & (F.size(F.array_except(F.array_intersect(grams(F.split(m["unit"], " ")), the_bag(m["license"])), the_bag(whole["license"]))) == 0)
+    )
+    own = F.filter("by_window", lambda m: ~F.exists(F.concat("by_unit", "by_window"), lambda whole: part(m, whole)))
+    empty = F.array().cast("array<string>")
     return (
         docs.select("doc_id", normalised(F.col("text")).alias("norm"))
+        .withColumn("norm", F.when(F.concat(F.lit(" "), norm, F.lit(" ")).rlike(anchors), norm).otherwise(F.lit("")))
         .withColumn("words", words)
-        .withColumn("bags", F.transform(bag, lambda b: F.when(F.size(b) <= most, b).otherwise(F.array().cast("array<string>"))))
+        .withColumn("bags", F.transform(bag, lambda b: F.when(F.size(b) <= most, b).otherwise(empty)))
         .withColumn("tpl", tpl)
-        .select("doc_id", F.filter(scored, lambda m: m["dice"] >= threshold).alias("matches"))
+        .withColumn("by_unit", F.filter(scored, lambda m: m["dice"] >= threshold))
+        .withColumn("all_words", F.filter(F.split(norm, r"[ \n]+", -1), lambda w: w != ""))
+        .withColumn("grams", F.when(F.size(all_words) >= 2, grams(all_words)).otherwise(empty))
+        .withColumn("known", F.when(n_grams > 0, F.array_intersect(g, known)).otherwise(empty))
+        .withColumn("by_window", found)
+        .select("doc_id", F.concat("by_unit", own).alias("matches"))
     )
