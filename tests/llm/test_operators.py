@@ -309,3 +309,15 @@ def test_license_anchors_are_in_every_match():
     anchors = set(licenses.anchor_words(bags))
     for bag in bags.values():
         assert sum(not anchors & set(b.split()) for b in bag) < len(bag) * licenses.THRESHOLD / (2 - licenses.THRESHOLD)
+
+
+def test_whole_license_texts(spark):
+    pad = " ".join(f"word{k}" for k in range(3000))
+    names = ["mit-text", "bsd-2-clause", "bsd-3-clause", "apache-2.0-text", "mpl-2.0-text", "gpl-3.0-text", "gpl-3.0-notice", "unlicense-text"]
+    one = [re.sub(r"\s+", " ", licenses.TEMPLATES[n]) for n in names]
+    texts = [t for n in one for t in (n, f"Copyright 2020 A Name. {n}", f"{pad}\n{n} {pad}")]
+    got = {r.doc_id: r.matches for r in licenses.scan_licenses(docs_of(spark, texts)).collect()}
+    for k in range(len(texts)):
+        best = max(got[k], key=lambda m: m.dice)
+        assert best.license == names[k // 3] and best.dice > 0.9, k
+    assert "provided as is without warranty" in got[0][0].unit
