@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -108,11 +108,12 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int |
         yield [(r.item_id, r.text) for r in part.collect()]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``doc_id``, ``text``, ``n_words``, ``spans`` (word ranges hit: start, end, start, end ...), ``items`` of every row of ``docs``."""
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, carry: Sequence[str] = ()) -> DataFrame:
+    """``doc_id``, ``text``, the columns ``carry``, ``n_words``, ``spans`` (word ranges hit: start, end, start, end ...), ``items`` of every row of ``docs``."""
     spark = docs.sparkSession
-    schema = "doc_id long, text string, n_words long, spans array<int>, items array<long>"
-    cur = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("spans"), F.array().cast("array<long>").alias("items"))
+    same = ["doc_id", "text", *carry]
+    cur = docs.select(*same, F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("spans"), F.array().cast("array<long>").alias("items"))
+    schema = cur.schema
     for k, block in enumerate(_blocks(benchmark, block_bytes)):
         if k:
             cur = written(cur, "hits")
@@ -129,8 +130,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
                     spans.append([x for ab in s for x in ab] + was)
                     items.append(sorted({*had, *(i for i in f if i is not None)}))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("text"), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))],
-                    names=["doc_id", "text", "n_words", "spans", "items"],
+                    [*map(batch.column, same), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))],
+                    names=[*same, "n_words", "spans", "items"],
                 )
 
         cur = cur.mapInArrow(search, schema)

@@ -25,7 +25,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -76,15 +76,17 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``fp`` (the fingerprint's 64 bits as a long) of every row."""
+def fingerprints(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """``doc_id``, the columns ``carry`` and ``fp`` (the fingerprint's 64 bits as a long) of every row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = [_signed(fingerprint(t.as_py())) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, same), pa.array(fp, pa.int64())], names=[*same, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, fp long")
+    same = ["doc_id", *carry]
+    schema = docs.select(*same, F.lit(0).cast("long").alias("fp")).schema
+    return docs.select(*same, "text").mapInArrow(work, schema)
 
 
 def _tally(x: np.ndarray) -> np.ndarray:
@@ -151,9 +153,9 @@ def _links_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield out(key, fp)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``fp`` and ``component_id`` (the smallest ``doc_id`` reachable over links) of every row of ``docs``."""
-    fps = written(fingerprints(docs), "fingerprints")
+def near_duplicates(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """``doc_id``, the columns ``carry``, ``fp``, ``component_id`` (the smallest ``doc_id`` reachable over links) and ``root`` (a fingerprint that names the group, never null) of every row of ``docs``."""
+    fps = written(fingerprints(docs, carry), "fingerprints")
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "fingerprint-nodes")
     links = written(
         _postings(nodes.select("fp")).repartition("key").sortWithinPartitions("key").mapInArrow(_links_of_runs, "fa long, fb long").distinct(),
@@ -163,5 +165,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = components(links.select(F.col("fa").alias("a"), F.col("fb").alias("b")))
     member = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", nodes.node.alias("least"), F.coalesce("root", "fp").alias("root"))
     ids = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    class_of = member.join(ids, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return fps.join(class_of, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    class_of = member.join(ids, "root").select(F.col("fp").alias("_fp"), "component_id", "root")
+    return fps.join(class_of, F.col("fp") == F.col("_fp")).select("doc_id", *carry, "fp", "component_id", "root")
