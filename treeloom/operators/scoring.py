@@ -70,7 +70,11 @@ def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 def judge(pairs: DataFrame) -> DataFrame:
-    """(``step``, ``reason``) of every pair (``fast``, ``slow``: text): empty, identical, output, values, completion."""
+    """``verdict`` (step and reason) of every pair (``fast``, ``slow``: text): empty or identical, values, else different.
+
+    Of the survey's EQ7 only steps 0 and 2 are built.  Step 1 hashes the same texts that step 0 found unequal, so it is
+    never given, and there is no step for completion values: the rest is ``step3:different``.
+    """
     blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
     words = lambda c: F.array_sort(F.array_distinct(F.split(F.lower(F.trim(c)), r"\s+")))
     common = F.size(F.array_intersect(words("fast"), words("slow")))
