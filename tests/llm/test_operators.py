@@ -75,27 +75,66 @@ def test_pieces_match_the_library(spark):
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     rnd = random.Random(2)
     texts = [t for t in HARD] + ["".join(rnd.choice(al) for _ in range(rnd.randint(1, 900))) for al in ("theaniro ", "  \n\tab", "日本語é①😀 x", "aaab", "()[]=;. 12") for _ in range(4)]
+    ids = [None if k % 6 == 0 else k // 2 for k in range(len(texts))]  # null and repeated ids
     # a small chunk sends most of them through the parallel scan
-    got = {r.doc_id: (r.ids, r.decoded) for r in pieces.decode(pieces.encode(docs_of(spark, texts), chunk=200)).collect()}
-    fused = {r.doc_id: (r.ids, r.decoded) for r in pieces.encode(docs_of(spark, texts), chunk=200, decoded=True).collect()}
-    assert fused == got
-    for k, t in enumerate(texts):
-        assert got[k][0] == sp.encode(t or "")
-        assert got[k][1] == (t or "")
+    got = pieces.encode(docs_of(spark, texts, ids), chunk=200).collect()
+    want = Counter((i, tuple(sp.encode(t or "")), t or "", True) for i, t in zip(ids, texts))
+    assert Counter((r.doc_id, tuple(r.ids), r.decoded, r.round_trip) for r in got) == want
+    again = pieces.decode(spark.createDataFrame([(1, sp.encode("a b")), (2, []), (3, None)], "doc_id long, ids array<int>")).collect()
+    assert [(r.doc_id, r.decoded) for r in again] == [(1, "a b"), (2, ""), (3, "")]
     assert pieces.encode(docs_of(spark, [])).count() == 0
+    marked = pieces.encode(docs_of(spark, ["a\u2581b", "a\u2581b " * 40]), chunk=100).collect()
+    assert sorted((r.decoded, r.round_trip) for r in marked) == [("a b", False), ("a b " * 40, False)]
+
+
+def test_pair_fits_against_merging():
+    coder = pieces.Coder(pieces.load_model())
+    rnd = random.Random(3)
+    own = coder._own
+    short = [k for k, p in enumerate(own) if p.isascii() and len(p) <= 3 or set(p) == {pieces.BLANK}]
+    pairs = [(rnd.randrange(len(own)), rnd.randrange(len(own))) for _ in range(3000)] + [(rnd.choice(short), rnd.choice(short)) for _ in range(9000)]
+    a, b = np.array(pairs).T
+    assert coder.fit(a, b).tolist() == [coder.merged(own[x] + own[y]) == [own[x], own[y]] for x, y in pairs]
+
+
+def test_lattice_against_merging():
+    coder = pieces.Coder(pieces.load_model())
+    rnd = random.Random(4)
+    words = ["", "a"] + ["".join(rnd.choice(al) for _ in range(rnd.randint(1, 40))) for al in ("theinos", "ab" + pieces.BLANK, "é日😀\n1", "=") for _ in range(30)]
+    words = [w for w in words if pieces.BLANK not in w.lstrip(pieces.BLANK)]
+    ids, counts = coder.lattice(words)
+    for w, x in zip(words, np.split(ids, np.cumsum(counts)[:-1])):
+        assert x.tolist() == coder.ids(coder.merged(w))
+
+
+def _cut(coder, s, n):
+    e = [len(s) * k // n for k in range(n + 1)]
+    return [(s[max(0, a - coder.longest) : b + coder.longest], a - max(0, a - coder.longest), b - max(0, a - coder.longest)) for a, b in zip(e, e[1:])]
 
 
 def test_matrices_are_associative():
     coder = pieces.Coder(pieces.load_model())
-    s = pieces.prepared("theresa andthere isnothing internationalisation " * 4)
-    e = [len(s) * k // 3 for k in range(4)]
-    m = []
-    for a, b in zip(e, e[1:]):
-        lo, hi = max(0, a - coder.longest), min(len(s), b + coder.longest)
-        m.append(coder.transfer(s[lo:hi], a - lo, b - lo))
+    m = [coder.transfer(*x) for x in _cut(coder, pieces.prepared("theresa andthere isnothing internationalisation " * 4), 3)]
     assert pieces.compose(pieces.compose(m[0], m[1]), m[2]) == pieces.compose(m[0], pieces.compose(m[1], m[2]))
 
 
+@pytest.mark.parametrize("text", ["theresa andthere isnothing internationalisation " * 6, "nobreaksatallinthislongword" * 9, "日本語 " * 60])
+def test_tree_of_matrices_against_one_sequential_pass(text):
+    coder = pieces.Coder(pieces.load_model())
+    s = pieces.prepared(text)
+    whole = coder.ids(coder.merged(s))
+    for n in (1, 2, 3, 5, 8, 13):
+        chunks = _cut(coder, s, n)
+        matrices = [coder.transfer(*x) for x in chunks]
+        got = pieces.scan(matrices)
+        reach = {(0, 0): 0.0}
+        for m, (a, b) in zip(matrices, got):
+            assert a in reach
+            reach = pieces.compose({(0, 0): reach}, m).get((0, 0), {})
+            assert b in reach
+        assert [i for x in coder.between([(*x, a, b) for x, (a, b) in zip(chunks, got)]) for i in x.tolist()] == whole
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "<|im_end|>\\x<|"), (1, 1, "assistant", "a\\"), (1, 1, "assistant", None), (1, 2, None, "z"), (2, None, "sys\ntem\\", "|<"), (2, 1, "assistant", "<\\|"), (None, 1, "user", "n")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
