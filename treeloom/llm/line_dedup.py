@@ -20,11 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_path, lower_ascii, new_path, strip_spaces
+from .common import drop_path, lower_ascii, new_path, strip_spaces, written
 
 BATCHES = 4
 FANOUT = 4
 MIN_DOCS = 10
+#: A key that holds more than one in so many of all (document, line) pairs is hot.
+HOT_SHARE = 4000
 
 _SALT = 7
 
@@ -56,8 +58,8 @@ class LineRuns:
         return self.spark.read.parquet(*paths).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
 
     def settled(self) -> DataFrame:
-        """Keys of all runs found in ``min_docs`` documents or more."""
-        return self._merged(self._all()).where(F.col("n") >= self.min_docs).select("h1", "h2")
+        """Keys (and counts ``n``) of all runs found in ``min_docs`` documents or more."""
+        return self._merged(self._all()).where(F.col("n") >= self.min_docs)
 
     def add(self, lines: DataFrame) -> None:
         """Add a batch: (``h1``, ``h2``), one row for each document and distinct line of it."""
@@ -66,6 +68,12 @@ class LineRuns:
             counts = counts.join(self.settled(), ["h1", "h2"], "left_anti")
         self._push(0, self._write(counts))
 
+    def close(self) -> None:
+        """Remove the runs."""
+        for p in self._all():
+            drop_path(self.spark, p)
+        self.levels = []
+
     def _push(self, level: int, path: str) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
@@ -79,10 +87,12 @@ class LineRuns:
 
 
 def frequent_lines(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT, min_docs: int = MIN_DOCS, min_chars: int = 1) -> DataFrame:
-    """(``h1``, ``h2``) of the line keys of ``min_chars`` code points or more that ``min_docs`` documents hold.
+    """(``h1``, ``h2``, ``hot``) of the line keys of ``min_chars`` code points or more that ``min_docs`` documents hold.
 
     The documents are hashed once into a table partitioned by batch; the runs
-    take one batch after the other.
+    take one batch after the other.  ``hot`` marks keys that hold more than one
+    in ``HOT_SHARE`` of all (document, line) pairs, so there are fewer than
+    ``HOT_SHARE`` of them whatever the corpus.
     """
     spark = docs.sparkSession
     path = new_path(spark, "line-batches")
@@ -94,37 +104,57 @@ def frequent_lines(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT
         .parquet(path)
     )
     schema = "h1 long, h2 long, batch int"
+    table = spark.read.schema(schema).parquet(path)
+    pairs = table.count()
     runs = LineRuns(spark, fanout, min_docs)
     for b in range(batches):
-        runs.add(spark.read.schema(schema).parquet(path).where(F.col("batch") == b).select("h1", "h2"))
+        runs.add(table.where(F.col("batch") == b).select("h1", "h2"))
     drop_path(spark, path)
-    return runs.settled()
+    # a settled key isn't counted on, so its count is that of the batches up to then
+    found = written(runs.settled().select("h1", "h2", (F.col("n") * HOT_SHARE > pairs).alias("hot")), "frequent-lines")
+    runs.close()
+    return found
+
+
+def _fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names, led by as many underscores as it takes to clash with no column."""
+    have = {c.lower() for c in docs.columns}
+    lead = "_"
+    while any((lead + n).lower() in have for n in names):
+        lead += "_"
+    return [lead + n for n in names]
 
 
 def drop_lines(docs: DataFrame, frequent: DataFrame, min_chars: int = 1) -> DataFrame:
     """``docs`` with ``kept_text``, ``n_lines`` and ``n_dropped``.
 
     Only (document, position, hash) rows meet the frequent keys; the positions
-    that go come back by document.  Text isn't shuffled with its lines.
+    that go come back by document.  Text isn't shuffled with its lines.  Lines
+    with a hot key are told by a broadcast of the hot keys (fewer than
+    ``HOT_SHARE``) and take no part in the join: their join key is spread.
     """
-    own = docs.withColumn("_th", F.xxhash64(F.lit(_SALT), F.col("text")))
+    th, gone, lines_, oid, oth = _fresh(docs, "th", "gone", "lines", "oid", "oth")
+    own = docs.withColumn(th, F.xxhash64(F.lit(_SALT), F.col("text")))
+    hot = F.broadcast(frequent.where("hot").select("h1", "h2", F.lit(True).alias("hot")))
+    cold = frequent.where("not hot").select(F.col("h1").alias("j1"), F.col("h2").alias("j2"), F.lit(True).alias("cold"))
     at = (
-        own.select("doc_id", "_th", F.posexplode(_keys(F.col("text"))).alias("pos", "key"))
+        own.select(F.col("doc_id").alias(oid), F.col(th).alias(oth), F.posexplode(_keys(F.col("text"))).alias("pos", "key"))
         .where(F.length("key") >= min_chars)
-        .select("doc_id", "_th", "pos", *_hashes(F.col("key")))
-        .join(frequent, ["h1", "h2"], "left_semi")
-        .groupBy("doc_id", "_th")
-        .agg(F.collect_set("pos").alias("_gone"))
-        .select(F.col("doc_id").alias("_id"), F.col("_th").alias("_t"), "_gone")
+        .select(oid, oth, "pos", *_hashes(F.col("key")))
+        .join(hot, ["h1", "h2"], "left")
+        .select(oid, oth, "pos", "hot", F.when(F.col("hot"), F.xxhash64(oid, oth, "pos")).otherwise(F.col("h1")).alias("j1"), F.when(F.col("hot"), F.lit(0)).otherwise(F.col("h2")).alias("j2"))
+        .join(cold, ["j1", "j2"], "left")
+        .where(F.col("hot") | F.col("cold"))
+        .groupBy(oid, oth)
+        .agg(F.collect_set("pos").alias(gone))
     )
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    out = own.join(at, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_t")), "left").withColumn("_lines", lines)
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    return (
-        out.withColumn("kept_text", F.when(F.col("_gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.concat_ws("\n", F.transform(left, lambda i: F.get(F.col("_lines"), i)))))
-        .withColumn("n_lines", F.size("_lines").cast("long"))
-        .withColumn("n_dropped", F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long"))
-        .select(*docs.columns, "kept_text", "n_lines", "n_dropped")
+    out = own.join(at, F.col("doc_id").eqNullSafe(F.col(oid)) & (F.col(th) == F.col(oth)), "left").withColumn(lines_, F.split(F.coalesce("text", F.lit("")), "\n", -1))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines_) - 1), F.col(gone))
+    return out.select(
+        *docs.columns,
+        F.when(F.col(gone).isNull(), F.coalesce("text", F.lit(""))).otherwise(F.concat_ws("\n", F.transform(left, lambda i: F.get(F.col(lines_), i)))).alias("kept_text"),
+        F.size(lines_).cast("long").alias("n_lines"),
+        F.when(F.col(gone).isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long").alias("n_dropped"),
     )
 
 
