@@ -4,9 +4,11 @@ Every text gets exact features.  For each (language, source) the features of
 the texts that pass the base rules are summarised by a log-bucket quantile
 sketch: a table of (group, metric, bucket, count) whose buckets grow by 5 %.
 Sketches merge by adding counts, so partial aggregation builds them and the
-language's sketch is the sum of its sources'.  Quartiles of the sketch give a
-fence for each metric, and a join with the fences filters.  A group of fewer
-than ``MIN_GROUP`` texts uses its language's sketch.
+language's sketch is the sum of its sources'.  A group's sketch is merged with
+its language's at a fixed weight, so that groups of few texts lean on their
+language.  Median, quartiles and outer tenths of that give a fence for each
+metric: beyond the spread of the middle half and of the tail.  A join with the
+fences filters.
 
 Edge cases: a null text has no words and fails the base rule; null languages
 and sources are groups of their own; a text that fails the base rules is never
@@ -26,9 +28,12 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 #: Growth of a sketch bucket: quantiles are right within 5 %.
 GAMMA = 1.05
-MIN_GROUP = 100
-#: Interquartile half-widths that a fence lies beyond the median.
-SPREAD = 6
+#: Texts that a language's sketch weighs in each of its groups.
+PRIOR = 100
+#: Quantiles read from a sketch, in twentieths.
+RANKS = (2, 5, 10, 15, 18)
+#: Distances from the median to a quartile, and to an outer tenth, that a fence lies beyond the median at least.
+SPREAD, TAIL = 6, 4
 #: metric -> slack in thousandths that a fence has besides the spread (so a group without spread has no cutoff at its median)
 SLACK = {"chars_per_word": 1000, "symbols_per_word": 100, "dup_line_share": 400, "repeat_share": 250}
 #: Metrics with a lower fence too.
@@ -90,31 +95,43 @@ def sketch(feats: DataFrame) -> DataFrame:
     return feats.where(~F.col("base_failed")).select("lang", "source", pairs).groupBy("lang", "source", F.col("m.metric").alias("metric"), bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def quartiles(sk: DataFrame, keys: list[str]) -> DataFrame:
-    """``total``, ``q1``, ``q2``, ``q3`` of each group and metric; ``sk``: (keys, metric, bucket, n)."""
-    # a group and metric has at most a few hundred buckets, so an array of them is bounded
+def _packed(sk: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(keys, metric, ``total_<name>``, ``<name>``: array of (bucket, n) in order); a group and metric has at most a few hundred buckets."""
     merged = sk.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
-    packed = merged.groupBy(*keys, "metric").agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("b"))
-    cum = F.transform("b", lambda x, i: F.struct(x["bucket"].alias("bucket"), F.aggregate(F.slice("b", 1, i + 1), F.lit(0).cast("long"), lambda a, y: a + y["n"]).alias("upto")))
-    packed = packed.withColumn("c", cum)
-    value = lambda b: F.when(b == 0, 0).otherwise(F.floor(F.pow(F.lit(GAMMA), (b - 1).cast("double")))).cast("long")
-    q = lambda k: value(F.get(F.filter("c", lambda x: 4 * x["upto"] >= k * F.col("total")), F.lit(0))["bucket"]).alias(f"q{k}")
-    return packed.select(*keys, "metric", "total", q(1), q(2), q(3))
+    return merged.groupBy(*keys, "metric").agg(F.sum("n").alias(f"total_{name}"), F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias(name))
+
+
+def _value(bucket: Column) -> Column:
+    """The lower edge of a bucket."""
+    return F.when(bucket == 0, 0).otherwise(F.floor(F.pow(F.lit(GAMMA), (bucket - 1).cast("double")))).cast("long")
+
+
+def quantiles(sk: DataFrame) -> DataFrame:
+    """(``lang``, ``source``, ``metric``, ``q<r>`` for each r of ``RANKS``): the r / 20 quantiles of each group.
+
+    A group's sketch is merged with its language's, the latter scaled to the weight of ``PRIOR`` texts: a group of few texts is near
+    its language, one of many near itself, and nothing switches at any size.
+    """
+    own, wide = _packed(sk, ["lang", "source"], "own"), _packed(sk, ["lang"], "wide")
+    both = own.join(wide.withColumnsRenamed({"lang": "_lang", "metric": "_metric"}), F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("metric") == F.col("_metric")))
+    upto = lambda name, x: F.aggregate(F.filter(name, lambda y: y["bucket"] <= x["bucket"]), F.lit(0).cast("long"), lambda a, y: a + y["n"])
+    weight = lambda x: upto("own", x) + F.lit(float(PRIOR)) * upto("wide", x) / F.col("total_wide")
+    # the language's buckets are a superset of the group's
+    cum = F.transform("wide", lambda x: F.struct(x["bucket"].alias("bucket"), weight(x).alias("upto")))
+    both = both.withColumn("cum", cum)
+    least = lambda r: F.get(F.filter("cum", lambda x: F.lit(20.0) * x["upto"] >= F.lit(float(r)) * (F.col("total_own") + F.lit(float(PRIOR)))), F.lit(0))["bucket"]
+    return both.select("lang", "source", "metric", *[_value(least(r)).alias(f"q{r}") for r in RANKS])
 
 
 def fences(sk: DataFrame) -> DataFrame:
     """(``lang``, ``source``, then ``lo_<metric>`` and ``hi_<metric>``): the cutoffs of every group."""
-    own, by_lang = quartiles(sk, ["lang", "source"]), quartiles(sk, ["lang"])
-    wide = by_lang.select(F.col("lang").alias("_lang"), F.col("metric").alias("_metric"), *[F.col(f"q{k}").alias(f"_q{k}") for k in (1, 2, 3)])
-    both = own.join(wide, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("metric") == F.col("_metric")))
-    for k in (1, 2, 3):
-        both = both.withColumn(f"q{k}", F.when(F.col("total") < MIN_GROUP, F.col(f"_q{k}")).otherwise(F.col(f"q{k}")))
-    out = []
+    both, out = quantiles(sk), []
     for m, slack in SLACK.items():
         here = F.col("metric") == m
-        out.append(F.max(F.when(here, F.col("q2") + SPREAD * (F.col("q3") - F.col("q2")) + slack)).alias(f"hi_{m}"))
+        beyond = lambda a, b: F.greatest(SPREAD * F.abs(F.col(a) - F.col("q10")), TAIL * F.abs(F.col(b) - F.col("q10"))) + slack
+        out.append(F.max(F.when(here, F.col("q10") + beyond("q15", "q18"))).alias(f"hi_{m}"))
         if m in TWO_SIDED:
-            out.append(F.max(F.when(here, F.col("q2") - SPREAD * (F.col("q2") - F.col("q1")) - slack)).alias(f"lo_{m}"))
+            out.append(F.max(F.when(here, F.col("q10") - beyond("q5", "q2"))).alias(f"lo_{m}"))
     return both.groupBy("lang", "source").agg(*out)
 
 

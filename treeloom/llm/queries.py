@@ -171,20 +171,17 @@ def _op4_sql() -> str:
     per = {"chars_per_word": ("word_chars", "n_words"), "symbols_per_word": ("n_symbols", "n_words"), "dup_line_share": ("n_dup_lines", "n_lines"), "repeat_share": ("n_repeat_words", "n_words")}
     metric = {m: f"CASE WHEN {b} > 0 THEN floor(1000 * {a}::DOUBLE / {b})::BIGINT ELSE 0 END" for m, (a, b) in per.items()}
     pairs = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {m} AS v FROM m WHERE NOT base_failed" for m in per)
-    value = lambda k: f"min(CASE WHEN 4 * upto >= {k} * total THEN bucket END)"
     grown = lambda b: f"CASE WHEN {b} = 0 THEN 0 ELSE floor(pow({quality.GAMMA}, {b} - 1))::BIGINT END"
-
-    def sketch(name: str, keys: str) -> str:
-        return f"""{name} AS (SELECT {keys}, metric, total, {", ".join(f"{grown(value(k))} AS q{k}" for k in (1, 2, 3))} FROM (
-  SELECT {keys}, metric, bucket, sum(n) OVER (PARTITION BY {keys}, metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys}, metric) AS total
-  FROM (SELECT {keys}, metric, bucket, sum(n) AS n FROM sk GROUP BY ALL)) GROUP BY ALL)"""
+    prior = f"{float(quality.PRIOR)!r}::DOUBLE"
+    quant = ", ".join(f"{grown(f'min(CASE WHEN 20.0::DOUBLE * upto >= {float(r)!r}::DOUBLE * (total + {prior}) THEN bucket END)')} AS q{r}" for r in quality.RANKS)
 
     fence, ok = [], ["NOT base_failed"]
     for m, slack in quality.SLACK.items():
-        fence.append(f"max(CASE WHEN metric = '{m}' THEN q2 + {quality.SPREAD} * (q3 - q2) + {slack} END) AS hi_{m}")
+        beyond = lambda a, b, slack=slack: f"greatest({quality.SPREAD} * abs({a} - q10), {quality.TAIL} * abs({b} - q10)) + {slack}"
+        fence.append(f"max(CASE WHEN metric = '{m}' THEN q10 + {beyond('q15', 'q18')} END) AS hi_{m}")
         ok.append(f"coalesce({m} <= hi_{m}, true)")
         if m in quality.TWO_SIDED:
-            fence.append(f"max(CASE WHEN metric = '{m}' THEN q2 - {quality.SPREAD} * (q2 - q1) - {slack} END) AS lo_{m}")
+            fence.append(f"max(CASE WHEN metric = '{m}' THEN q10 - ({beyond('q5', 'q2')}) END) AS lo_{m}")
             ok.append(f"coalesce({m} >= lo_{m}, true)")
     return rf"""
 WITH d AS (
@@ -200,9 +197,16 @@ WITH d AS (
   SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed, {", ".join(f"{e} AS {m}" for m, e in metric.items())} FROM f
 ), sk AS (
   SELECT lang, source, metric, CASE WHEN v <= 0 THEN 0 ELSE 1 + floor(ln(v::DOUBLE) / ln({quality.GAMMA}))::INT END AS bucket, count(*) AS n FROM ({pairs}) GROUP BY ALL
-), {sketch("own", "lang, source")}, {sketch("wide", "lang")}, q AS (
-  SELECT own.lang, own.source, own.metric, {", ".join(f"CASE WHEN own.total < {quality.MIN_GROUP} THEN wide.q{k} ELSE own.q{k} END AS q{k}" for k in (1, 2, 3))}
-  FROM own JOIN wide ON own.lang IS NOT DISTINCT FROM wide.lang AND own.metric = wide.metric
+), wide AS (SELECT lang, metric, bucket, sum(n) AS n FROM sk GROUP BY ALL
+), groups AS (SELECT lang, source, metric, sum(n)::BIGINT AS total FROM sk GROUP BY ALL
+), grid AS (
+  SELECT g.lang, g.source, g.metric, total, w.bucket, w.n AS wide_n, coalesce(sk.n, 0) AS own_n
+  FROM groups g JOIN wide w ON g.lang IS NOT DISTINCT FROM w.lang AND g.metric = w.metric
+  LEFT JOIN sk ON sk.lang IS NOT DISTINCT FROM g.lang AND sk.source IS NOT DISTINCT FROM g.source AND sk.metric = g.metric AND sk.bucket = w.bucket
+), cum AS (
+  SELECT lang, source, metric, total, bucket, sum(own_n) OVER o::DOUBLE + {prior} * sum(wide_n) OVER o::DOUBLE / sum(wide_n) OVER (PARTITION BY lang, source, metric)::DOUBLE AS upto
+  FROM grid WINDOW o AS (PARTITION BY lang, source, metric ORDER BY bucket)
+), q AS (SELECT lang, source, metric, {quant} FROM cum GROUP BY ALL
 ), fences AS (SELECT lang, source, {", ".join(fence)} FROM q GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, {" AND ".join(ok)} AS kept
 FROM m LEFT JOIN fences ON m.lang IS NOT DISTINCT FROM fences.lang AND m.source IS NOT DISTINCT FROM fences.source
@@ -219,7 +223,7 @@ WITH tpl AS ({tpl}), n AS (
 ), u AS (
   SELECT uid, unnest(list_distinct(list_transform(list_concat(string_split(norm, chr(10)), list_transform(regexp_split_to_array(norm, '\n *\n[ \n]*'), lambda p: replace(p, chr(10), ' ')), [replace(norm, chr(10), ' ')]), lambda x: trim(x)))) AS unit FROM n
 ), w AS (SELECT uid, unit, regexp_split_to_array(unit, ' +') AS w FROM u WHERE length(unit) > 0
-), b AS (SELECT uid, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS bag FROM w WHERE len(w) BETWEEN 2 AND 2000
+), b AS (SELECT uid, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS bag FROM w WHERE len(w) >= 2
 ), s AS (
   SELECT uid, license, 2.0::DOUBLE * len(list_intersect(b.bag, tpl.bag)) / (len(b.bag) + len(tpl.bag)) AS dice
   FROM b JOIN tpl ON len(b.bag) >= len(tpl.bag) * {low!r}::DOUBLE AND len(b.bag) <= len(tpl.bag) * {high!r}::DOUBLE
