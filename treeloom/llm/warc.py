@@ -9,10 +9,17 @@ name-based UUIDs of the archive's own fields, so a repeated conversion gives
 the same ones; the 14-digit date becomes an ISO 8601 time; digests are base32
 SHA-1 of the payload.
 
-Archives are written with Spark's text sink (records end with CRLF CRLF, which
-is the line separator), so any file system that Spark writes works, and read
-back whole through the ``binaryFile`` source, record by record by
-``Content-Length``.
+Legacy archives are a written table, at most ``ARC_RECORDS`` records and about
+``ARC_BYTES`` each, named by the task and the sequence that made them, so no two
+share a name.  Which page is the response is found from digests and ids alone;
+each archive then gets the list of its revisits, so payloads move once, by
+archive, and no digest draws them together.
+
+WARC files are written with Spark's text sink (records end with CRLF CRLF, which
+is the line separator; a row is the records of one archive), so any file system
+that Spark writes works, and read back whole through the ``binaryFile`` source,
+record by record by ``Content-Length``.  A file holds ``FILE_ARCHIVES`` archives at
+most, which bounds its bytes unless single pages are giant.
 
 Edge cases: null html is an empty payload and null url an empty one; spaces and
 control characters in a URL are percent-encoded; of records with equal payloads
@@ -31,17 +38,23 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import new_path, written
 
 #: The field lists of the two ARC versions.
 V1_FIELDS = "URL IP-address Archive-date Content-type Archive-length"
 V2_FIELDS = "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"
 #: Seconds from which the synthetic archive dates count (2001-09-09T01:46:40Z).
 EPOCH = 1_000_000_000
-FILE_BYTES = 8 << 20
+ARC_RECORDS = 64
+ARC_BYTES = 1 << 20
+FILE_ARCHIVES = 64
+#: A digest of more than one in so many of all records is hot.
+HOT_SHARE = 4000
 _NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:treeloom:arc")
 _UNSAFE = re.compile(rb"[\x00-\x20\x7f%]")
 
@@ -95,118 +108,122 @@ def payload_digest(body: bytes) -> str:
     return base64.b32encode(hashlib.sha1(body).digest()).decode()
 
 
+_ARCHIVES = "archive string, version int, page_ids array<long>, z binary"
+
+
 def pages_to_arc(pages: DataFrame) -> DataFrame:
-    """(``archive``, ``version``, ``page_ids``, ``data``): legacy archives of the pages, 64 records each, of both versions."""
+    """(``archive``, ``version``, ``page_ids``, ``z``: compressed bytes): legacy archives of the pages, versions 1 and 2 in turn."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq, zip_ = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=3)
+        data, ids = bytearray(), []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict(
+                {"archive": [name], "version": [version], "page_ids": [ids], "z": [zip_.compress(bytes(data))]},
+                pa.schema([("archive", pa.string()), ("version", pa.int32()), ("page_ids", pa.list_(pa.int64())), ("z", pa.binary())]),
+            )
+
         for batch in batches:
-            rows = batch.to_pylist()
-            out: dict[str, list] = {"archive": [], "version": [], "page_ids": [], "data": []}
-            for part in (rows[lo : lo + 64] for lo in range(0, len(rows), 64)):
-                first = part[0]["page_id"]
-                version = 1 + (first or 0) // 64 % 2
-                name = f"pages-{first}-{version}.arc"
-                data = bytearray(arc_block(version, name))
-                for r in part:
-                    data += arc_record(version, name, (r["url"] or "").encode(), r["stamp"], (r["html"] or "").encode(), len(data))
-                for k, v in zip(out, (name, version, [r["page_id"] for r in part], bytes(data))):
-                    out[k].append(v)
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("archive", pa.string()), ("version", pa.int32()), ("page_ids", pa.list_(pa.int64())), ("data", pa.binary())]))
+            for r in batch.to_pylist():
+                if not ids:
+                    version = 1 + seq % 2
+                    name = f"pages-{part}-{seq}-v{version}.arc"
+                    data = bytearray(arc_block(version, name))
+                data += arc_record(version, name, (r["url"] or "").encode(), r["stamp"], (r["html"] or "").encode(), len(data))
+                ids.append(r["page_id"])
+                if len(ids) >= ARC_RECORDS or len(data) >= ARC_BYTES:
+                    yield out()
+                    ids, seq = [], seq + 1
+        if ids:
+            yield out()
 
     stamp = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(10**9))), "yyyyMMddHHmmss")
-    return pages.select("page_id", "url", "html", stamp.alias("stamp")).mapInArrow(pack, "archive string, version int, page_ids array<long>, data binary")
+    return pages.select("page_id", "url", "html", stamp.alias("stamp")).mapInArrow(pack, _ARCHIVES)
 
 
-def convert_arc(archives: DataFrame) -> DataFrame:
-    """WARC fields of every record of ``archives``; ``page_ids`` names the records of an archive in order."""
+def convert_record(archive: str, page_id: int | None, r: dict) -> dict:
+    """The WARC fields of one record of a legacy archive."""
+    d = r["date"]
+    return {
+        "page_id": page_id,
+        "record_id": str(uuid.uuid5(_NAMESPACE, f"{archive} {r['offset']}")),
+        "url": r["url"].decode("utf-8", "replace"),
+        "date": f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z",
+        "content_type": r["type"],
+        "digest": payload_digest(r["body"]),
+        "payload": r["body"],
+    }
 
-    def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, ids, data in zip(pdf.archive, pdf.page_ids, pdf.data, strict=True):
-                rows = []
-                for page_id, r in zip(ids, parse_arc(data), strict=True):
-                    d = r["date"]
-                    rows.append(
-                        {
-                            "page_id": page_id,
-                            "record_id": str(uuid.uuid5(_NAMESPACE, f"{name} {r['offset']}")),
-                            "url": r["url"].decode("utf-8", "replace"),
-                            "date": f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z",
-                            "content_type": r["type"],
-                            "digest": payload_digest(r["body"]),
-                            "payload": r["body"].decode(),
-                            "payload_bytes": len(r["body"]),
-                        }
-                    )
-                yield pd.DataFrame(rows, columns=["page_id", "record_id", "url", "date", "content_type", "digest", "payload", "payload_bytes"]).astype({"page_id": "Int64"})
-
-    return archives.mapInPandas(convert, "page_id long, record_id string, url string, date string, content_type string, digest string, payload string, payload_bytes long")
-
-
-def with_revisits(records: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """``records`` with ``record_type``, ``refers_to`` (page) and ``refers_id`` (record).
-
-    The response of each digest comes from a partial aggregate; only digests
-    held twice or more go into the join, so single pages stay where they are.
+
+def _records(batch: pa.RecordBatch) -> Iterator[tuple[str, list[dict]]]:
+    """(archive, its converted records in order)."""
+    zip_ = zstandard.ZstdDecompressor()
+    for name, ids, z in zip(*(batch.column(c).to_pylist() for c in ("archive", "page_ids", "z")), strict=True):
+        yield name, [convert_record(name, i, r) for i, r in zip(ids, parse_arc(zip_.decompress(z)), strict=True)]
+
+
+def digests(archives: DataFrame) -> DataFrame:
+    """(``archive``, ``place``, ``page_id``, ``record_id``, ``digest``, ``payload_bytes``) of every record; no payload."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("archive", pa.string()), ("place", pa.int32()), ("page_id", pa.int64()), ("record_id", pa.string()), ("digest", pa.string()), ("payload_bytes", pa.int64())])
+        for batch in batches:
+            for name, rows in _records(batch):
+                yield pa.RecordBatch.from_pylist([{"archive": name, "place": k, **{c: r[c] for c in ("page_id", "record_id", "digest")}, "payload_bytes": len(r["payload"])} for k, r in enumerate(rows)], schema)
+
+    return archives.mapInArrow(read, "archive string, place int, page_id long, record_id string, digest string, payload_bytes long")
+
+
+def revisits(records: DataFrame, total: int, min_bytes: int = 0) -> DataFrame:
+    """(``archive``, ``place``, ``refers_to``: page, ``refers_id``: record) of the rows of ``digests`` that revisit another.
+
+    The response of each digest comes from a partial aggregate.  Fewer than ``HOT_SHARE`` digests are hot; they are broadcast, and
+    their records take no part in the join by digest.
     """
-    low = -(2**63)
-    keyed = records.withColumn("_rank", F.coalesce("page_id", F.lit(low)))
-    first = (
-        records.where(F.col("payload_bytes") >= min_bytes)
-        .select("digest", F.coalesce("page_id", F.lit(low)).alias("_rank"), "page_id", "record_id")
-        .groupBy("digest")
-        .agg(F.max(F.struct("_rank", "page_id", "record_id")).alias("_top"), F.count(F.lit(1)).alias("_n"))
-        .where("_n > 1")
-        .select("digest", "_top")
-    )
-    out = keyed.join(first, "digest", "left")
-    is_revisit = F.col("_top").isNotNull() & (F.col("_rank") < F.col("_top._rank"))
-    return out.select(
-        *records.columns,
-        F.when(is_revisit, "revisit").otherwise("response").alias("record_type"),
-        F.when(is_revisit, F.col("_top.page_id")).alias("refers_to"),
-        F.when(is_revisit, F.col("_top.record_id")).alias("refers_id"),
-    )
-
-
-def write_warc(records: DataFrame, path: str) -> None:
-    """Write the records as WARC 1.1 files below ``path``; a revisit has no block and names its response."""
-    crlf = "\r\n"
-    empty = F.lit("")
-    revisit = F.col("record_type") == "revisit"
-    block = F.when(revisit, empty).otherwise(F.col("payload"))
-    head = F.concat(
-        F.lit("WARC/1.1" + crlf + "WARC-Type: "),
-        F.col("record_type"),
-        F.lit(crlf + "WARC-Record-ID: <urn:uuid:"),
-        F.col("record_id"),
-        F.lit(">" + crlf + "WARC-Target-URI: "),
-        F.col("url"),
-        F.lit(crlf + "WARC-Date: "),
-        F.col("date"),
-        F.lit(crlf + "WARC-Payload-Digest: sha1:"),
-        F.col("digest"),
-        F.lit(crlf + "X-Payload-Length: "),
-        F.col("payload_bytes").cast("string"),
-        F.lit(crlf + "X-Page-ID: "),
-        F.coalesce(F.col("page_id").cast("string"), F.lit("-")),
-        F.when(
-            revisit,
-            F.concat(
-                F.lit(crlf + "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" + crlf + "WARC-Refers-To: <urn:uuid:"),
-                F.col("refers_id"),
-                F.lit(">" + crlf + "X-Refers-To-Page: "),
-                F.coalesce(F.col("refers_to").cast("string"), F.lit("-")),
-            ),
-        ).otherwise(empty),
-        F.lit(crlf + "Content-Type: "),
-        F.col("content_type"),
-        F.lit(crlf + "Content-Length: "),
-        F.octet_length(block).cast("string"),
-        F.lit(crlf + crlf),
-        block,
-    )
-    records.select(head.alias("value")).write.option("lineSep", crlf + crlf).option("maxRecordsPerFile", 2000).text(path)
+    low = F.lit(-(2**63))
+    keyed = records.where(F.col("payload_bytes") >= min_bytes).withColumn("rank", F.coalesce("page_id", low))
+    tops = keyed.groupBy("digest").agg(F.max(F.struct("rank", "page_id", "record_id")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    tops = written(tops.select("digest", "top", (F.col("n") * HOT_SHARE > total).alias("hot")), "warc-tops")
+    hot = F.broadcast(tops.where("hot").select("digest", F.col("top").alias("hot_top")))
+    cold = tops.where("not hot").select(F.col("digest").alias("by"), F.col("top").alias("cold_top"))
+    met = keyed.join(hot, "digest", "left").withColumn("by", F.when(F.col("hot_top").isNotNull(), F.concat(F.lit("-"), "record_id")).otherwise(F.col("digest"))).join(cold, "by", "left")
+    top = F.coalesce("hot_top", "cold_top")
+    return met.where(F.col("rank") < top["rank"]).select("archive", "place", top["page_id"].alias("refers_to"), top["record_id"].alias("refers_id"))
+
+
+def warc_record(r: dict, refers: tuple[int | None, str] | None) -> str:
+    """One WARC 1.1 record without its closing lines; a revisit has no block and names its response."""
+    size = len(r["payload"])
+    head = [
+        "WARC/1.1",
+        f"WARC-Type: {'revisit' if refers else 'response'}",
+        f"WARC-Record-ID: <urn:uuid:{r['record_id']}>",
+        f"WARC-Target-URI: {r['url']}",
+        f"WARC-Date: {r['date']}",
+        f"WARC-Payload-Digest: sha1:{r['digest']}",
+        f"X-Payload-Length: {size}",
+        f"X-Page-ID: {'-' if r['page_id'] is None else r['page_id']}",
+    ]
+    if refers:
+        page, record = refers
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:uuid:{record}>", f"X-Refers-To-Page: {'-' if page is None else page}"]
+    head += [f"Content-Type: {r['content_type']}", f"Content-Length: {0 if refers else size}"]
+    return "\r\n".join(head) + "\r\n\r\n" + ("" if refers else r["payload"].decode())
+
+
+def write_warc(archives: DataFrame, found: DataFrame, path: str) -> None:
+    """Write the archives' records as WARC files below ``path``; ``found``: the rows of ``revisits``."""
+    by_archive = found.groupBy(F.col("archive").alias("of")).agg(F.collect_list(F.struct("place", "refers_to", "refers_id")).alias("revisits"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for (_, rows), own in zip(_records(batch), batch.column("revisits").to_pylist(), strict=True):
+                refers = {x["place"]: (x["refers_to"], x["refers_id"]) for x in own or []}
+                yield pa.RecordBatch.from_pydict({"value": ["\r\n\r\n".join(warc_record(r, refers.get(k)) for k, r in enumerate(rows))]}, pa.schema([("value", pa.string())]))
+
+    joined = archives.join(by_archive, F.col("archive") == F.col("of"), "left").select("archive", "page_ids", "z", "revisits")
+    joined.mapInArrow(work, "value string").write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_ARCHIVES).text(path)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -249,6 +266,10 @@ def read_warc(spark, path: str) -> DataFrame:
 def convert_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Pages through legacy archives into WARC files in the shared folder, read back."""
     spark = pages.sparkSession
+    path = new_path(spark, "arc")
+    pages_to_arc(pages).write.option("compression", "none").parquet(path)
+    archives = spark.read.schema(_ARCHIVES).parquet(path)
+    records = written(digests(archives), "arc-digests")
     path = new_path(spark, "warc")
-    write_warc(with_revisits(convert_arc(pages_to_arc(pages)), min_bytes), path)
+    write_warc(archives, revisits(records, records.count(), min_bytes), path)
     return read_warc(spark, path)
