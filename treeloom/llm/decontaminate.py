@@ -7,9 +7,11 @@ words to the distance that the search may skip: a block that occurs in no
 pattern skips ``m - 1`` words.  A block that ends patterns selects, by its
 hash, the bucket of test strings, and a direct comparison confirms them.
 
-Benchmark items are handled in blocks of at most ``BLOCK_BYTES`` of text, each
-broadcast by itself; every block is searched in all documents, the hits so far
-being carried along in a written table.
+Benchmark items are dealt to blocks of about ``BLOCK_BYTES`` of text, each
+broadcast by itself.  A worker searches a batch of documents for one block after
+the other and holds the tables of one block at a time, so one pass over the
+documents serves up to ``PASS_BYTES`` of benchmark text.  Only beyond that are the
+hits so far carried along in a written table.
 
 Edge cases: null and empty texts have no words and no hit; an item without
 words has no pattern; equal items (or repeated rows) are all reported, an
@@ -23,6 +25,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,7 +34,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 1 << 20
+PASS_BYTES = 64 << 20
 
 #: A word is a run of these, after lower-casing A-Z.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -108,29 +112,39 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int |
         yield [(r.item_id, r.text) for r in part.collect()]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, carry: Sequence[str] = ()) -> DataFrame:
+def _passes(benchmark: DataFrame, block_bytes: int, pass_bytes: int) -> Iterator[list[list[tuple[int | None, str | None]]]]:
+    """Blocks in groups that one pass over the documents serves."""
+    blocks = _blocks(benchmark, block_bytes)
+    while group := list(islice(blocks, max(1, pass_bytes // block_bytes))):
+        yield group
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, pass_bytes: int = PASS_BYTES, carry: Sequence[str] = ()) -> DataFrame:
     """``doc_id``, ``text``, the columns ``carry``, ``n_words``, ``spans`` (word ranges hit: start, end, start, end ...), ``items`` of every row of ``docs``."""
     spark = docs.sparkSession
     same = ["doc_id", "text", *carry]
     cur = docs.select(*same, F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("spans"), F.array().cast("array<long>").alias("items"))
     schema = cur.schema
-    for k, block in enumerate(_blocks(benchmark, block_bytes)):
+    for k, group in enumerate(_passes(benchmark, block_bytes, pass_bytes)):
         if k:
             cur = written(cur, "hits")
-        table = spark.sparkContext.broadcast(WuManber(block, window))
+        shared = [spark.sparkContext.broadcast(block) for block in group]
 
-        def search(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
-            wm = table.value
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            only = WuManber(shared[0].value, window) if len(shared) == 1 else None
             for batch in batches:
-                n_words, spans, items = [], [], []
-                for text, was, had in zip(*(batch.column(c).to_pylist() for c in ("text", "spans", "items")), strict=True):
-                    w = words_of(text)
-                    s, f = wm.search(w)
-                    n_words.append(len(w))
-                    spans.append([x for ab in s for x in ab] + was)
-                    items.append(sorted({*had, *(i for i in f if i is not None)}))
+                words = [words_of(t) for t in batch.column("text").to_pylist()]
+                spans = batch.column("spans").to_pylist()
+                items = [set(x) for x in batch.column("items").to_pylist()]
+                for block in shared:
+                    wm = only or WuManber(block.value, window)
+                    for n, w in enumerate(words):
+                        s, f = wm.search(w)
+                        if s:
+                            spans[n] = [*spans[n], *(x for ab in s for x in ab)]
+                            items[n] |= f - {None}
                 yield pa.RecordBatch.from_arrays(
-                    [*map(batch.column, same), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))],
+                    [*map(batch.column, same), pa.array(map(len, words), pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(map(sorted, items), pa.list_(pa.int64()))],
                     names=[*same, "n_words", "spans", "items"],
                 )
 
