@@ -174,6 +174,45 @@ def test_quality_fences_drop_symbols_and_keep_clean(spark):
     assert all(got[k] for k in range(60)) and not any(got[k] for k in range(60, 65))
 
 
+def _fences_by_hand(rows):
+    """rows: (lang, source, metric values by name) -> cutoffs of every group."""
+    import math
+
+    out = {}
+    bucket = lambda v: 0 if v <= 0 else 1 + math.floor(math.log(v) / math.log(quality.GAMMA))
+    value = lambda b: 0 if b == 0 else math.floor(quality.GAMMA ** (b - 1))
+    for lang, source in {r[:2] for r in rows}:
+        for m, slack in quality.SLACK.items():
+            own = [bucket(r[2][m]) for r in rows if r[:2] == (lang, source)]
+            wide = [bucket(r[2][m]) for r in rows if r[0] == lang]
+            q = {}
+            for rank in quality.RANKS:
+                weight = lambda b: sum(x <= b for x in own) + quality.PRIOR * sum(x <= b for x in wide) / len(wide)
+                q[rank] = value(min(b for b in wide if 20 * weight(b) >= rank * (len(own) + quality.PRIOR)))
+            out[lang, source, m] = (
+                q[10] - max(quality.SPREAD * (q[10] - q[5]), quality.TAIL * (q[10] - q[2])) - slack if m in quality.TWO_SIDED else -1,
+                q[10] + max(quality.SPREAD * (q[15] - q[10]), quality.TAIL * (q[18] - q[10])) + slack,
+            )
+    return out
+
+
+def test_quality_fences_against_plain_loops(spark):
+    rnd = random.Random(8)
+    rows, feats = [], []
+    for k in range(400):
+        lang, source = rnd.choice([("en", "a"), ("en", "a"), ("en", "b"), ("de", "a"), (None, None)]) if k else ("en", "rare")
+        n = rnd.randint(20, 90)
+        chars, symbols, dup, rep = n * rnd.randint(3, 9), rnd.choice([0, 0, 0, rnd.randint(1, 40)]), rnd.randint(0, 3), rnd.choice([0, 0, 8])
+        feats.append((k, lang, source, n, chars, symbols, 10, dup, rep, False))
+        rows.append((lang, source, {"chars_per_word": 1000 * chars // n, "symbols_per_word": 1000 * symbols // n, "dup_line_share": 1000 * dup // 10, "repeat_share": 1000 * rep // n}))
+    schema = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, base_failed boolean"
+    want = _fences_by_hand(rows)
+    for r in quality.fences(quality.sketch(spark.createDataFrame(feats, schema))).collect():
+        for m in quality.SLACK:
+            low, high = want[r.lang, r.source, m]
+            assert r[f"hi_{m}"] == high and (m not in quality.TWO_SIDED or r[f"lo_{m}"] == low), (r.lang, r.source, m)
+
+
 def test_decontamination(spark):
     rnd = random.Random(4)
     items = [(1, " ".join(f"w{rnd.randint(0, 30)}" for _ in range(14))), (2, "short Item"), (3, None), (None, "nameless thing here"), (2, "short item"), (4, "é")]
@@ -181,8 +220,8 @@ def test_decontamination(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     cut = lambda t: word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-    for block in (decontaminate.BLOCK_BYTES, 40):
-        got = {r.doc_id: r for r in decontaminate.find_contamination(docs_of(spark, texts), bench, block_bytes=block).withColumn("n_hit", decontaminate.hit_words(F.col("spans"))).collect()}
+    for block, most in ((decontaminate.BLOCK_BYTES, decontaminate.PASS_BYTES), (40, 1 << 20), (40, 80)):  # one block, many in one pass, many passes
+        got = {r.doc_id: r for r in decontaminate.find_contamination(docs_of(spark, texts), bench, block_bytes=block, pass_bytes=most).withColumn("n_hit", decontaminate.hit_words(F.col("spans"))).collect()}
         for k, t in enumerate(texts):
             w, hit, ids = cut(t), set(), set()
             for i, it in items:
@@ -230,6 +269,20 @@ def test_suffix_array():
         assert suffixes.suffix_array(t).tolist() == sorted(range(len(b)), key=lambda i: b[i:])
 
 
+def test_suffix_array_of_many_symbols():
+    rng = np.random.default_rng(1)
+    for n, most in ((3000, 1 << 30), (9000, 3000), (6000, 1500)):
+        t = np.tile(rng.integers(0, most, n // 3), 3) if most == 1500 else rng.integers(0, most, n)
+        t = t.astype(np.int64)
+        seq = t.tolist()
+        assert suffixes.suffix_array(t).tolist() == sorted(range(n), key=lambda i: seq[i:])
+    # a text whose reduced string has more symbols than buckets are walked
+    b = rng.integers(97, 123, 30000).astype(np.uint8)
+    b[20000:] = b[:10000]
+    raw = b.tobytes()
+    assert suffixes.suffix_array(b).tolist() == sorted(range(len(raw)), key=lambda i: raw[i : i + 12000])
+
+
 def test_warc(spark):
     rows = [(1, "http://a b/é", "<p>x</p>"), (2, None, None), (3, "u", ""), (4, "u", "<p>x</p>"), (None, "u", "<p>x</p>"), (70, "u", "WARC/1.1\r\n\r\nfake\n"), (70, "u", "WARC/1.1\r\n\r\nfake\n"), (71, "u", "y" * 100000)]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, digest string")
@@ -245,6 +298,28 @@ def test_warc(spark):
     assert warc.convert_pages(df.limit(0)).count() == 0
 
 
+def test_warc_ids_are_unique_and_hot_digests_split(spark, monkeypatch):
+    rows = [(None if k % 2 else 7, "u", "same" if k % 3 else f"page {k}") for k in range(400)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    for share in (warc.HOT_SHARE, 0):  # a hot digest, none
+        monkeypatch.setattr(warc, "HOT_SHARE", share)
+        got = warc.convert_pages(df).collect()
+        assert len({r.record_id for r in got}) == 400
+        assert Counter((r.page_id, r.record_type, r.refers_to) for r in got if r.payload_bytes == 4) == Counter((i, "response" if i == 7 else "revisit", None if i == 7 else 7) for i, _, h in rows if h == "same")
+
+
+def test_warc_files_are_bounded(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "ARC_BYTES", 5000)
+    monkeypatch.setattr(warc, "FILE_ARCHIVES", 2)
+    df = spark.createDataFrame([(k, "u", f"{k:04d}" * 250) for k in range(100)], "page_id long, url string, html string").coalesce(1)
+    archives = warc.pages_to_arc(df).cache()
+    assert archives.count() == 20 or archives.count() == 25
+    warc.write_warc(archives, warc.revisits(warc.digests(archives), 100), str(tmp_path / "w"))
+    sizes = [p.stat().st_size for p in (tmp_path / "w").glob("part-*")]
+    assert len(sizes) >= 10 and max(sizes) < 2 * 8000
+    assert warc.read_warc(spark, str(tmp_path / "w")).count() == 100
+
+
 def test_arc_versions():
     for v in (1, 2):
         data = warc.arc_block(v, "n") + warc.arc_record(v, "n", b"http://x/ y", "20010909014640", b"a\nb", 9) + warc.arc_record(v, "n", b"", "20010909014640", b"", 9)
@@ -277,6 +352,94 @@ def test_toxicity(spark, monkeypatch):
     assert toxicity.classify(docs_of(spark, ["a"]), lab.limit(0)).first().score == 0
 
 
+def _plain_logit(net, text):
+    """The forward pass in plain loops, from the hashed rows of each word."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
+    vec = []
+    for w in words:
+        rows, weight, _ = toxicity.hashed_rows([w])
+        vec.append([sum(float(weight[k]) * float(net.emb[r][d]) for k, r in enumerate(rows)) for d in range(toxicity.DIM)])
+    z = net.const
+    for i, width in enumerate(toxicity.WIDTHS):
+        for f in range(toxicity.FILTERS):
+            top = 0.0
+            for a in range(len(words) - width + 1):
+                top = max(top, float(net.bias[i * toxicity.FILTERS + f]) + sum(vec[a + k][d] * float(net.conv[i][k][d][f]) for k in range(width) for d in range(toxicity.DIM)))
+            z += top * float(net.out[i * toxicity.FILTERS + f])
+    return z
+
+
+def test_toxicity_forward_pass_against_plain_loops():
+    net = toxicity.ConvNet.fresh(np.random.default_rng(3))
+    net.bias[:] = np.random.default_rng(4).normal(0, 0.1, net.bias.shape)
+    net.const = 0.3
+    texts = ["one two three four", "", None, "x", "größe Ñandú ça va", "two words"]
+    z, langs = net.logits(texts)
+    assert langs == ["other", "other", "other", "other", "de", "other"]
+    assert np.allclose(z, [_plain_logit(net, t) for t in texts], atol=1e-4)
+
+
+def test_toxicity_word_hashing_against_plain_loops():
+    m = 1 << 64
+    prime = 0x9E3779B97F4A7C15
+    row = lambda key: ((key ^ (key >> 31)) * prime % m) >> (64 - toxicity.ROWS.bit_length() + 1)
+    for word in ("a", "four", "größe", "internationally"):
+        raw = b"<" + word.encode() + b">"
+        total = 0
+        for p, c in enumerate(raw):
+            x = (c + 1) * (prime * (2 * p + 1) % m) % m
+            total = (total + (x ^ (x >> 29)) * prime) % m
+        want = [(row(total), 1.0)]
+        for g in toxicity.GRAMS:
+            n = len(raw) - g + 1
+            want += [(row((int.from_bytes(raw[k : k + g], "big") ^ (g << 56)) * prime % m), 1 / n) for k in range(n)]
+        rows, weight, _ = toxicity.hashed_rows([word])
+        assert rows.tolist() == [r for r, _ in want] and np.allclose(weight, [w for _, w in want])
+
+
+def test_toxicity_gradient_against_differences():
+    rng = np.random.default_rng(5)
+    net = toxicity.ConvNet.fresh(rng)
+    vec = rng.normal(0, 1, (9, toxicity.DIM)).astype(np.float32)
+    local, stop, y = np.array([0, 1, 2, 3, 4, 5, 0, 6, 7, 8, 2]), np.array([4, 5, 11]), np.array([1, 0, 1])
+
+    def loss():
+        best, _ = net.pooled(vec, local, stop)
+        z = (best @ net.out + net.const).astype(np.float64)
+        return float(np.mean(np.log1p(np.exp(-z)) * y + np.log1p(np.exp(z)) * (1 - y)))
+
+    g = toxicity._gradient(net, vec, local, stop, y)
+    for param, grad in ((net.out, g["out"]), (net.bias, g["bias"]), (net.conv[2], g["conv"][2]), (vec, g["vec"])):
+        flat, want = param.reshape(-1), np.asarray(grad).reshape(-1)
+        for k in rng.choice(len(flat), 12, replace=False):
+            was = flat[k]
+            flat[k] = was + 2e-3
+            up = loss()
+            flat[k] = was - 2e-3
+            down = loss()
+            flat[k] = was
+            assert abs((up - down) / 4e-3 - want[k]) < 3e-3
+
+
+def test_toxicity_thresholds_against_every_cutoff():
+    rnd = random.Random(9)
+    for _ in range(20):
+        y = np.array([rnd.random() < 0.4 for _ in range(40)]).astype(np.int64)
+        z = np.array([rnd.gauss(1.5 * k, 1) for k in y])
+        cost = lambda c: sum(a < c for a in z[y == 1]) / max(1, y.sum()) + toxicity.FALSE_WEIGHT * sum(a >= c for a in z[y == 0]) / max(1, (1 - y).sum())
+        assert abs(cost(toxicity._threshold(z, y)) - min(map(cost, [*z, z.min() - 1, z.max() + 1]))) < 1e-9
+
+
+def test_toxicity_sample_bounds(spark):
+    texts = ["long " * 3000, *["short text"] * 30, None]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(len(texts))], "doc_id long, toxic int")
+    kept = [k for k in range(len(texts)) if __import__("zlib").crc32(str(k).encode()) % 5]
+    got, y = toxicity.training_rows(docs_of(spark, texts), labels)
+    assert sorted(got) == sorted(texts[k] or "" for k in kept) and sum(y) == sum(k % 2 for k in kept)
+    got, _ = toxicity.training_rows(docs_of(spark, texts), labels, max_bytes=100)
+    assert all(len(t) < 100 for t in got) and len(got) <= 22
+
+
 def test_line_dedup(spark):
     texts = [f"Common Line \nown {k}\n\n" for k in range(10)] + ["common line\n" * 3, "\tCOMMON LINE", None, "", "rare\nrare"] + ["nine"] * 9
     keys = lambda t: [re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r")) for x in (t or "").split("\n")]
@@ -289,6 +452,24 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(docs_of(spark, [])).count() == 0
 
 
+def test_line_dedup_levels_hot_keys_and_odd_ids(spark, monkeypatch):
+    rnd = random.Random(11)
+    texts = ["hot line\n" + "\n".join(f"l{rnd.randint(0, 60)}" for _ in range(rnd.randint(0, 6))) for _ in range(120)]
+    ids = [None if k % 4 == 0 else k // 3 for k in range(len(texts))]  # null and repeated ids
+    df = Counter(k for t in texts for k in set(t.split("\n")) if k)
+    want = Counter()
+    for i, t in zip(ids, texts):
+        kept = [x for x in t.split("\n") if not (x and df[x] >= 10)]
+        want[i, len(t.split("\n")), len(t.split("\n")) - len(kept), "\n".join(kept)] += 1
+    for share in (line_dedup.HOT_SHARE, 8, 0):  # every key hot, one key hot, none
+        monkeypatch.setattr(line_dedup, "HOT_SHARE", share)
+        # nine batches in runs of two: compaction goes up several levels
+        got = line_dedup.dedup_lines(docs_of(spark, texts, ids), batches=9, fanout=2)
+        assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got.collect()) == want
+    own = docs_of(spark, texts, ids)
+    assert line_dedup.drop_lines(own, line_dedup.frequent_lines(own)).select("_th").distinct().collect() == [("x",)]
+
+
 def test_licenses(spark):
     bags = licenses.template_bags()
     texts = HARD + ["intro\nReleased under the MIT License.\nend", licenses.TEMPLATES["apache-2.0-header"].replace(" use ", "\nuse ").upper(), "released under the mit licence"]

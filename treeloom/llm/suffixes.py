@@ -117,35 +117,6 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     return np.concatenate(hashes), np.concatenate(firsts), np.concatenate(lasts)
 
 
-def _doubled(t: np.ndarray) -> np.ndarray:
-    """Suffix array of a string of large numbers by prefix doubling.
-
-    A suffix's rank is the number of suffixes in smaller groups; only groups of two or more are sorted again.
-    """
-    n = len(t)
-    order = np.argsort(t)
-    ts = t[order]
-    head = np.flatnonzero(np.r_[True, ts[1:] != ts[:-1]])
-    rank = np.empty(n + 1, np.int64)
-    rank[order] = np.repeat(head, np.diff(np.r_[head, n]))
-    rank[n] = -1
-    size = np.diff(np.r_[head, n])
-    live = np.flatnonzero(np.repeat(size > 1, size))  # places in ``order`` of the groups left
-    k = 1
-    while len(live):
-        at = order[live]
-        key = rank[at] * (n + 2) + rank[np.minimum(at + k, n)] + 1
-        by = np.argsort(key)
-        at, key = at[by], key[by]
-        order[live] = at
-        head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        size = np.diff(np.r_[head, len(live)])
-        rank[at] = np.repeat(live[head], size)
-        live = live[np.repeat(size > 1, size)]
-        k *= 2
-    return order
-
-
 def _deal(j: np.ndarray, c: np.ndarray, pend: list[list[np.ndarray]]) -> None:
     """Append the places ``j`` to the buckets of their symbols ``c``, in order."""
     if not len(j):
@@ -204,21 +175,71 @@ def _induce(t: np.ndarray, symbols: np.ndarray, lms: np.ndarray) -> np.ndarray:
     return np.concatenate(out)[::-1]
 
 
+def _settled(first: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
+    """``places`` in the order of their ``first`` keys, ties by the rank of the place after them.
+
+    A tie is refined by what is known of the next place, again and again, so a run of places that wait for one another is settled step
+    by step from its end.
+    """
+    rank = np.full(n + 1, -1, np.int64)
+    by = np.argsort(first, kind="stable")
+    order, key = places[by], first[by]
+    head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size = np.diff(np.r_[head, len(order)])
+    rank[order] = np.repeat(head, size)
+    live = np.flatnonzero(np.repeat(size > 1, size))
+    while len(live):
+        at = order[live]
+        key = rank[at] * (n + 2) + rank[np.minimum(at + 1, n)] + 1
+        by = np.argsort(key, kind="stable")
+        at, key = at[by], key[by]
+        order[live] = at
+        head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[head, len(live)])
+        rank[at] = np.repeat(live[head], size)
+        live = live[np.repeat(size > 1, size)]
+    return order
+
+
+def _induce_at_once(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """:func:`_induce` for strings of many symbols, where a walk over all buckets would be too long.
+
+    The larger suffixes follow from their symbol and the place of the next suffix, back from the sorted leftmost smaller ones; the
+    smaller suffixes likewise from the larger ones.  In a bucket the larger stand before the smaller.
+    """
+    n = len(t)
+    top = np.int64(n + 2)
+    sort_of = 2 * t.astype(np.int64)
+    known = np.zeros(n, np.int64)
+    known[lms] = np.arange(1, len(lms) + 1)
+    larger = np.flatnonzero(~smaller)
+    places = np.concatenate([larger, lms])
+    first = np.concatenate([sort_of[larger] * top, (sort_of[lms] + 1) * top + known[lms]])
+    order = _settled(first, places, n)
+    order = order[~smaller[order]]
+    known[:] = 0
+    known[order] = np.arange(1, len(order) + 1)
+    rest = np.flatnonzero(smaller)
+    places = np.concatenate([order, rest])
+    first = np.concatenate([sort_of[order] * top + known[order], (sort_of[rest] + 1) * top])
+    return _settled(first, places, n)
+
+
 def suffix_array(t: np.ndarray) -> np.ndarray:
     """The suffix array of a string of symbols (the end counts as smaller than any symbol), by induced sorting."""
     n = len(t)
     if n < 2:
         return np.arange(n)
     symbols = np.unique(t)
-    if len(symbols) > 1024:
-        return _doubled(t)
     # a suffix is smaller than the next where the next different symbol is larger
     step = np.r_[np.sign(t[1:].astype(np.int64) - t[:-1]), -1]
     nxt = np.minimum.accumulate(np.where(step != 0, np.arange(n), n)[::-1])[::-1]
     smaller = step[nxt] > 0
+    # the same induction in two forms: bucket by bucket, or all places of a type at once where there are many buckets
+    induce = (lambda at: _induce(t, symbols, at)) if len(symbols) <= 1024 else (lambda at: _induce_at_once(t, smaller, at))
     lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
     if len(lms) > 1:
-        first = _induce(t, symbols, lms[np.argsort(t[lms], kind="stable")])
+        first = induce(lms[np.argsort(t[lms], kind="stable")])
         mark = np.full(n, -1, np.int64)
         mark[lms] = np.arange(len(lms))
         order = mark[first]
@@ -239,7 +260,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
         name = np.empty(len(lms), np.int64)
         name[order] = np.r_[0, np.cumsum(~same)]
         lms = lms[order] if name.max() == len(lms) - 1 else lms[suffix_array(name)]
-    return _induce(t, symbols, lms)
+    return induce(lms)
 
 
 def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int, begin: np.ndarray) -> np.ndarray:
