@@ -13,12 +13,12 @@ def test_names_agree():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", ["order_tree_scope_cut", "event_ci_by_group", "identical_document_groups", "user_dispatch_rule"])
+@pytest.mark.parametrize("name", ["order_tree_scope_cut", "event_ci_by_group", "identical_document_groups", "user_dispatch_rule", "program_diff_links", "program_scope_blocks", "program_sigma_blocks"])
 def test_against_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in "customer orders lineitem events documents".split():
+    for t in "region nation customer orders lineitem events documents part".split():
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = entry.queries()[name](spark, SF)
     want = con.sql(entry.oracle_sql()[name])

@@ -2,49 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import markup, values
 from ..operators import patterns, scoring, similarity, statistics, trees
-from ..shipping import ship
+from ..operators.storage import stored
+from .registry import ORACLE_SQL, QUERIES, query, read
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "near_duplicate_pairs"
 
 
-def query(sql: str | None = None):
-    """Register a function as a query under its name."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # --- trees: every customer's orders and items ---------------------------------
 
-BOUNDARY = ["order"]
+BOUNDARY = ["nation"]
 _NODES = """
-WITH raw AS (
-  SELECT c_custkey AS id, NULL::BIGINT AS o, 0 AS depth, 'customer' AS name, c_mktsegment AS value, NULL::BIGINT AS a, NULL::BIGINT AS b, NULL::BIGINT AS c, NULL::TIMESTAMP AS d, NULL::DOUBLE AS e, NULL::DOUBLE AS f FROM customer
-  UNION ALL SELECT o_custkey, o_orderkey, 1, 'order', o_orderstatus, NULL, NULL, NULL, NULL, NULL, NULL FROM orders
-  UNION ALL SELECT o_custkey, l_orderkey, 2, 'item', l_returnflag || l_linestatus, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+WITH top AS (SELECT c_custkey AS id, r_name, n_name, c_mktsegment FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
+), raw AS (
+  SELECT id, NULL::BIGINT AS o, k AS depth, CASE k WHEN 0 THEN 'region' WHEN 1 THEN 'nation' ELSE 'customer' END AS name, CASE k WHEN 0 THEN r_name WHEN 1 THEN n_name ELSE c_mktsegment END AS value,
+    NULL::BIGINT AS a, NULL::BIGINT AS b, NULL::BIGINT AS c, NULL::TIMESTAMP AS d, NULL::DOUBLE AS e, NULL::DOUBLE AS f FROM top, (VALUES (0), (1), (2)) l(k)
+  UNION ALL SELECT o_custkey, o_orderkey, 3, 'order', o_orderstatus, NULL, NULL, NULL, NULL, NULL, NULL FROM orders
+  UNION ALL SELECT o_custkey, l_orderkey, 4, 'item', l_returnflag || l_linestatus, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 ), numbered AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY o NULLS FIRST, depth, a, b, c, d, e, f) - 1 AS idx FROM raw
 ), nodes AS (
-  SELECT id, o, idx, name, value, depth, CASE depth WHEN 0 THEN -1 WHEN 1 THEN 0 ELSE min(idx) OVER (PARTITION BY id, o) END AS parent_idx,
-    CASE depth WHEN 0 THEN count(*) OVER (PARTITION BY id) - 1 WHEN 1 THEN max(idx) OVER (PARTITION BY id, o) ELSE idx END AS subtree_end, depth = 2 AND value LIKE 'R%' AS is_action
+  SELECT id, o, idx, name, value, depth, CASE depth WHEN 4 THEN min(idx) OVER (PARTITION BY id, o) ELSE depth - 1 END AS parent_idx,
+    CASE WHEN depth <= 2 THEN count(*) OVER (PARTITION BY id) - 1 WHEN depth = 3 THEN max(idx) OVER (PARTITION BY id, o) ELSE idx END AS subtree_end, depth = 4 AND value LIKE 'R%' AS is_action
   FROM numbered
 )"""
 _CUT = (
@@ -53,14 +35,19 @@ _CUT = (
 ), spans AS (
   SELECT DISTINCT id, 'Diff' AS scope, idx AS lo, subtree_end AS hi FROM acts
   UNION SELECT a.id, 'Brother', a.parent_idx + 1, p.subtree_end FROM acts a JOIN nodes p ON p.id = a.id AND p.idx = a.parent_idx
-  UNION SELECT a.id, 'ExParent', a.parent_idx + 1, p.subtree_end FROM acts a JOIN nodes p ON p.id = a.id AND p.idx = a.parent_idx
-  UNION SELECT a.id, 'Parent', a.parent_idx, p.subtree_end FROM acts a JOIN nodes p ON p.id = a.id AND p.idx = a.parent_idx
+  UNION SELECT a.id, 'ExParent', p.idx + 1, p.subtree_end FROM acts a JOIN nodes p ON p.id = a.id AND p.name = 'customer'
+  UNION SELECT a.id, 'Parent', p.idx, p.subtree_end FROM acts a JOIN nodes p ON p.id = a.id AND p.name = 'nation'
 ), cut AS (SELECT DISTINCT s.id, scope, n.idx, n.is_action AS is_diff, n.parent_idx FROM spans s JOIN nodes n ON n.id = s.id AND n.idx BETWEEN lo AND hi)"""
 )
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trees.order_trees(read(spark, sf_dir, "customer"), read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem"))
+    return trees.order_trees(*(read(spark, sf_dir, t) for t in ("region", "nation", "customer", "orders", "lineitem")))
+
+
+def kept_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The node table written once, for queries that use it more than once."""
+    return stored(nodes(spark, sf_dir), "order-nodes")
 
 
 @query(_NODES + " SELECT id, idx, name, value, parent_idx, depth, subtree_end FROM nodes")
@@ -75,13 +62,13 @@ def order_tree_children(spark, sf_dir):
 
 @query(_NODES + " SELECT n.id, a.idx AS anchor, count(*) AS n_nodes, max(n.idx) AS last FROM nodes a JOIN nodes n ON n.id = a.id AND n.idx BETWEEN a.idx AND a.subtree_end WHERE a.name = 'order' AND a.value = 'F' GROUP BY ALL")
 def order_tree_descendants(spark, sf_dir):
-    n = nodes(spark, sf_dir)
+    n = kept_nodes(spark, sf_dir)
     return trees.descendants(n, n.where("name = 'order' and value = 'F'")).groupBy("id", "anchor").agg(F.count(F.lit(1)).alias("n_nodes"), F.max("idx").alias("last"))
 
 
-@query(_NODES + " SELECT id, count(*) FILTER (WHERE name = 'customer') AS n_customer, count(*) FILTER (WHERE name = 'order') AS n_order, count(*) FILTER (WHERE name = 'item') AS n_item FROM nodes GROUP BY id")
+@query(_NODES + " SELECT id, count(*) FILTER (WHERE name = 'nation') AS n_nation, count(*) FILTER (WHERE name = 'customer') AS n_customer, count(*) FILTER (WHERE name = 'order') AS n_order, count(*) FILTER (WHERE name = 'item') AS n_item FROM nodes GROUP BY id")
 def order_tree_label_counts(spark, sf_dir):
-    return trees.label_counts(nodes(spark, sf_dir), ["customer", "order", "item"])
+    return trees.label_counts(nodes(spark, sf_dir), ["nation", "customer", "order", "item"])
 
 
 @query(_NODES + " SELECT id, string_agg(value, ',' ORDER BY idx) AS value_list FROM nodes WHERE name = 'item' GROUP BY id")
@@ -89,19 +76,19 @@ def order_tree_ordered_values(spark, sf_dir):
     return trees.ordered_values(nodes(spark, sf_dir), "item").select("id", F.array_join("values", ",").alias("value_list"))
 
 
-@query(_NODES + " SELECT id, idx, CASE depth WHEN 2 THEN parent_idx ELSE 0 END AS boundary FROM nodes")
+@query(_NODES + " SELECT id, idx, CASE WHEN depth >= 2 THEN 1 ELSE 0 END AS boundary FROM nodes")
 def order_tree_scope_boundary(spark, sf_dir):
-    return trees.scope_boundary(nodes(spark, sf_dir), BOUNDARY)
+    return trees.scope_boundary(kept_nodes(spark, sf_dir), BOUNDARY)
 
 
 @query(_CUT + " SELECT id, scope, count(*) AS n_nodes, count(*) FILTER (WHERE is_diff) AS n_diff FROM cut GROUP BY ALL")
 def order_tree_scope_cut(spark, sf_dir):
-    return trees.cut_scopes(nodes(spark, sf_dir), BOUNDARY).groupBy("id", "scope").agg(F.count(F.lit(1)).alias("n_nodes"), F.count_if("is_diff").alias("n_diff"))
+    return trees.cut_scopes(kept_nodes(spark, sf_dir), BOUNDARY).groupBy("id", "scope").agg(F.count(F.lit(1)).alias("n_nodes"), F.count_if("is_diff").alias("n_diff"))
 
 
 @query(_CUT + ", r AS (SELECT id, scope, count(*) AS n, count(*) FILTER (WHERE NOT is_diff)::DOUBLE / count(*) AS r FROM cut GROUP BY ALL) SELECT scope, count(*) AS n_records, round(avg(r), 9) AS mean_ratio, quantile_cont(r, 0.5) AS median_ratio, quantile_cont(n, 0.5) AS median_size FROM r GROUP BY scope")
 def order_tree_non_diff_ratio(spark, sf_dir):
-    cut = trees.cut_scopes(nodes(spark, sf_dir), BOUNDARY).groupBy("id", "scope").agg(F.count(F.lit(1)).alias("n"), (F.count_if(~F.col("is_diff")) / F.count(F.lit(1))).alias("r"))
+    cut = trees.cut_scopes(kept_nodes(spark, sf_dir), BOUNDARY).groupBy("id", "scope").agg(F.count(F.lit(1)).alias("n"), (F.count_if(~F.col("is_diff")) / F.count(F.lit(1))).alias("r"))
     return cut.groupBy("scope").agg(F.count(F.lit(1)).alias("n_records"), F.round(F.avg("r"), 9).alias("mean_ratio"), F.percentile("r", F.lit(0.5)).alias("median_ratio"), F.percentile("n", F.lit(0.5)).alias("median_size"))
 
 
@@ -112,29 +99,29 @@ def order_tree_non_diff_ratio(spark, sf_dir):
 SELECT id, scope, round(avg(share), 9) AS completeness FROM s GROUP BY ALL"""
 )
 def order_tree_sibling_completeness(spark, sf_dir):
-    n = nodes(spark, sf_dir)
-    got = trees.sibling_completeness(n, trees.cut_scopes(n, BOUNDARY))
+    n = kept_nodes(spark, sf_dir)
+    got = trees.sibling_completeness(n, stored(trees.cut_scopes(n, BOUNDARY), "order-cut"))
     return got.select("id", "scope", F.round("completeness", 9).alias("completeness"))
 
 
 @query(_NODES + ", m AS (SELECT a.id, a.idx, min(l.idx) AS leftmost FROM nodes a JOIN nodes l ON l.id = a.id AND l.idx = l.subtree_end AND l.idx BETWEEN a.idx AND a.subtree_end GROUP BY ALL) SELECT id, leftmost, min(idx) AS keyroot FROM m GROUP BY ALL")
 def order_tree_keyroots(spark, sf_dir):
-    return trees.keyroots(nodes(spark, sf_dir))
+    return trees.keyroots(kept_nodes(spark, sf_dir))
 
 
-@query(_NODES + " SELECT a.id, a.idx AS anchor, count(*) AS n_inside FROM nodes a JOIN nodes n ON n.id = a.id AND n.idx >= a.idx AND n.subtree_end <= a.subtree_end AND n.depth > 0 WHERE a.depth = 1 GROUP BY ALL")
+@query(_NODES + " SELECT a.id, a.idx AS anchor, count(*) AS n_inside FROM nodes a JOIN nodes n ON n.id = a.id AND n.idx >= a.idx AND n.subtree_end <= a.subtree_end AND n.depth > 0 WHERE a.depth = 3 GROUP BY ALL")
 def order_tree_range_cut(spark, sf_dir):
-    n = nodes(spark, sf_dir).withColumns({"begin": F.col("idx"), "end": F.col("subtree_end")})
-    return trees.range_cut(n, n.where("depth = 1")).groupBy("id", "anchor").agg(F.count(F.lit(1)).alias("n_inside"))
+    n = kept_nodes(spark, sf_dir).withColumns({"begin": F.col("idx"), "end": F.col("subtree_end")})
+    return trees.range_cut(n, n.where("depth = 3")).groupBy("id", "anchor").agg(F.count(F.lit(1)).alias("n_inside"))
 
 
 @query(
     _NODES
-    + """, f AS (SELECT id, substr(value, 1, 1) AS marker, value, min(idx) AS first_idx, count(*) AS n_uses FROM nodes WHERE depth = 2 GROUP BY ALL)
+    + """, f AS (SELECT id, substr(value, 1, 1) AS marker, value, min(idx) AS first_idx, count(*) AS n_uses FROM nodes WHERE depth = 4 GROUP BY ALL)
 SELECT id, value, n_uses, '$' || lower(marker) || (dense_rank() OVER (PARTITION BY id, marker ORDER BY first_idx) - 1) AS slot FROM f"""
 )
 def order_tree_first_appearance_slots(spark, sf_dir):
-    return trees.slots(nodes(spark, sf_dir).where("depth = 2"), F.lower(F.substring("value", 1, 1)))
+    return trees.slots(nodes(spark, sf_dir).where("depth = 4"), F.lower(F.substring("value", 1, 1)))
 
 
 @query(
@@ -207,8 +194,7 @@ def doc_token_quantiles(spark, sf_dir):
 def clusters(spark, sf_dir, method: str = "agglomerate") -> DataFrame:
     """(``key``, ``cluster``) of every document with a bigram."""
     classes, members = doc_classes(spark, sf_dir)
-    classes = classes.checkpoint()
-    pairs = similarity.jaccard_pairs(classes, TAU).checkpoint()
+    pairs = stored(similarity.jaccard_pairs(classes, TAU), "pairs")
     got = similarity.linkage(classes, pairs, TAU, method)
     return members.join(got, "cid").select("key", "cluster")
 
@@ -505,3 +491,6 @@ def vector_cosine_by_label(spark, sf_dir):
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     cos = dot("embedding", "c") / F.sqrt(dot("embedding", "embedding") * dot("c", "c"))
     return e.join(F.broadcast(probe)).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(cos), 5).alias("mean_cosine"))
+
+
+from . import syntax_catalog  # noqa: E402, F401  (registers its queries)
