@@ -59,32 +59,112 @@ def test_statistics(spark):
     assert (q.q1, q["median"]) == (1.75, 3.0) and q.variance == pytest.approx(9.5)
 
 
+def tree(spark, *trees):
+    """Node tables with text from nested tuples (name, value, children ...); records are numbered from 1."""
+    rows = []
+    for r, t in enumerate(trees, 1):
+
+        def walk(x, up, depth):
+            k = len(own)
+            own.append([r, "base", k, up, depth, k, x[0], x[1]])
+            texts = [walk(c, k, depth + 1) for c in x[2:]]
+            own[k][5] = len(own) - 1
+            own[k].append("".join(texts) or x[1])
+            return own[k][-1]
+
+        own = []
+        walk(t, -1, 0)
+        rows += [(*o, 0, len(o[-1])) for o in own]
+    return spark.createDataFrame(rows, "id long, side string, idx int, parent_idx int, depth int, subtree_end int, name string, value string, text string, begin int, end int")
+
+
+def found(df):
+    return {(r.id, r.idx) for r in df.collect()}
+
+
 def test_tree_patterns(spark):
-    def call(args):  # f(args)
-        nodes = [("program", "program", 0, 9, []), ("call_expression", "call_expression", 0, 9, [0]), ("identifier", "String", 0, 6, [0, 1]), ("arguments", "arguments", 6, 9, [0, 1])]
-        return nodes + [("identifier", a, 7, 8, [0, 1, 3]) for a in args]
-
-    schema = "id long, code string, nodes array<struct<name:string,value:string,begin:int,end:int,parent:array<int>>>"
-    df = spark.createDataFrame([(1, "String(x)", call(["x"])), (2, "String(x)", call(["x", "y"])), (3, None, None)], schema)
-    got = {(r.id, r.pattern_id) for r in patterns.match_patterns(df, patterns.SLOW_FORMS).collect()}
-    assert got == {(1, 3)}
+    x, y = ("identifier", "x"), ("identifier", "y")
+    call = lambda *args: ("call_expression", "c", ("identifier", "f"), ("arguments", "a", *args))
+    n = tree(spark, call(x), call(x, y), ("program", "p", call(("number", "1"), ("number", "2"))), ("p", "p", x, ("+", "+"), x), ("p", "p", x, ("+", "+"), y))
+    sub = {"name": "arguments", "children": [{"name": "number", "value": "1"}]}
+    assert found(patterns.find(n, sub)) == {(3, 3)}
+    assert found(patterns.find(n, {**sub, "children_mode": "exact"})) == set()
+    assert found(patterns.find(n, {"name": "arguments", "children_mode": "exact", "children": [{"name": "*"}]})) == {(1, 2)}
+    two = {"name": "p", "children": [{"name": "identifier", "bind": "k"}, {"name": "identifier", "bind": "k"}]}
+    assert found(patterns.find(n, two)) == {(4, 0)}
+    assert found(patterns.find(n, {"name": "p", "children": [{"name": "none", "optional": True, "bind": "k"}, {"name": "+"}]})) == {(4, 0), (5, 0)}
+    assert found(patterns.find(n, {"name": "program", "children": [{"name": "number", "match": "descendant", "value": {"regex": "^2"}}]})) == {(3, 0)}
+    assert found(patterns.find(n, {"text": "x+y"})) == {(5, 0)}
+    assert found(patterns.find(n, {"name": "p", "children": [{"name": ["+", "-"]}, {"value": "y"}]})) == {(5, 0)}
     with pytest.raises(ValueError):
-        patterns.holds({"odd": 1}, "x")
+        patterns.constraint({"odd": 1}, F.col("name"))
+    assert patterns.required_names({"name": "a", "children": [{"name": "a"}, {"name": "b", "optional": True}, {"name": "*"}]}) == {"a": 2}
+    loaded = patterns.load_patterns('{"ignore_names": [";"], "patterns": [{"id": 2, "root": {}}, {"id": 1, "root": {}, "ignore_names": []}]}')
+    assert [(p["id"], p["ignore_names"]) for p in loaded] == [(1, []), (2, [";"])]
+
+
+def brute(rows, spec, i, binds):
+    """All sets of binds under which node ``i`` of one record matches, by trying every choice."""
+    r = rows[i]
+    ok = lambda rule, v: rule in (None, "*") or rule == v or isinstance(rule, list) and v in rule
+    if not (ok(spec.get("name"), r.name) and ok(spec.get("value"), r.value)):
+        return []
+    if "bind" in spec:
+        if binds.get(spec["bind"], r.text) != r.text:
+            return []
+        binds = {**binds, spec["bind"]: r.text}
+    states = [(i, binds)]
+    for c in spec.get("children", []):
+        far = c.get("match") == "descendant"
+        step = [(j, b) for upto, bs in states for j in range(upto + 1, r.subtree_end + 1) if (far or rows[j].parent_idx == i) and rows[j].name not in patterns.IGNORED for b in brute(rows, c, j, bs)]
+        states = step + (states if c.get("optional") else [])
+    return [b for _, b in states]
+
+
+def test_tree_patterns_against_every_choice(spark):
+    import random
+
+    rnd = random.Random(5)
+
+    def make(depth):
+        return (rnd.choice("abc("), rnd.choice("xy"), *[make(depth - 1) for _ in range(rnd.randint(0, 3) if depth else 0)])
+
+    def spec(depth):
+        out = {"name": rnd.choice(["a", "b", ["a", "c"], "*"]), "children": [spec(depth - 1) for _ in range(rnd.randint(0, 2) if depth else 0)], "match": rnd.choice(["child", "descendant"]), "optional": rnd.random() < 0.2}
+        return {**out, "bind": "k"} if rnd.random() < 0.4 else out
+
+    n = tree(spark, *[make(3) for _ in range(12)]).cache()
+    by = {}
+    for r in n.orderBy("id", "idx").collect():
+        by.setdefault(r.id, []).append(r)
+    for _ in range(8):
+        s = spec(2)
+        assert found(patterns.find(n, s)) == {(k, i) for k, rows in by.items() for i in range(len(rows)) if brute(rows, s, i, {})}, s
 
 
-def test_pattern_binds_and_options():
-    n = [patterns.Node("p", "p", 0, 3, []), patterns.Node("a", "x", 0, 1, [0]), patterns.Node("a", "x", 2, 3, [0])]
-    two = {"name": "p", "children": [{"name": "a", "bind": "k"}, {"name": "a", "bind": "k"}]}
-    assert patterns.find(patterns.Tree(n, "x+x"), two) == [0]
-    assert patterns.find(patterns.Tree(n, "x+y"), two) == []
-    assert patterns.find(patterns.Tree(n, "x+y"), {"name": "p", "children": [{"name": "b", "optional": True}]}) == [0]
-    assert patterns.find(patterns.Tree(n, "x+y"), {"name": "p", "exact": True, "children": [{"name": "a"}]}) == []
+def test_generalisation(spark):
+    a = ("f", "x", ("n", "1"), ("n", "2", ("k", "k")), ("m", "m"))
+    b = ("f", "x", ("n", "1"), ("o", "2", ("k", "k")))
+    n = generalize.addressed(tree(spark, a, b), 2).select(F.lit("c").alias("cluster"), F.col("id").alias("tree"), "address", "name", "value")
+    got = {r.address: (r.kind, r.name, r.value) for r in generalize.anti_unify(n).collect()}
+    assert got == {"0": ("concrete", "f", "x"), "0.00000": ("concrete", "n", "1"), "0.00001": ("node_hole", None, None), "0.00002": ("tail_hole", None, None)}
+    s = tree(spark, a, b, ("f", "z", ("n", "1"), ("m", "m"))).select(F.lit("c").alias("cluster"), F.col("id").alias("tree"), "idx", "parent_idx", "name", "value")
+    got = {r.address: (r.name, r.value, r.support) for r in generalize.skeletons(s).collect()}
+    assert got == {"0": ("f", "x", 3), "0.00000": ("n", "1", 3)}
 
 
-def test_generalise():
-    a, b = ("f", "x", (("n", "1", ()), ("n", "2", ()))), ("f", "x", (("n", "1", ()),))
-    assert generalize.generalise([a, b]) == {"kind": "concrete", "name": "f", "value": "x", "children": [{"kind": "concrete", "name": "n", "value": "1", "children": []}, {"kind": "tail_hole"}]}
-    assert generalize.lcs(list("abc"), list("xbc")) == [(1, 1), (2, 2)]
+def test_alignment_against_every_choice():
+    import itertools
+    import random
+
+    assert generalize.alignment(list("abc"), list("xbc")) == [(1, 1), (2, 2)]
+    rnd = random.Random(2)
+    for _ in range(200):
+        a, b = ([rnd.choice("abc") for _ in range(rnd.randint(0, 6))] for _ in range(2))
+        got = generalize.alignment(a, b)
+        assert all(a[i] == b[j] for i, j in got) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:]))
+        longest = max(k for k in range(7) if any(any(list(x) == list(y) for y in itertools.combinations(b, k)) for x in itertools.combinations(a, k)))
+        assert len(got) == longest
 
 
 def test_dispatch(spark):
@@ -93,7 +173,42 @@ def test_dispatch(spark):
     assert {r.g: r.env for r in scoring.dispatch(df, "g", ["node", "npm", "playwright"]).collect()} == {"a": "node", "b": "npm", "c": "mixed_env", "d": "insufficient_pair"}
 
 
+def test_permutations_are_free(spark):
+    members = spark.createDataFrame([(k, str(k % 3)) for k in range(60)], "key long, cluster string")
+    got = scoring.permuted(members, 20, 1).collect()
+    assert len(got) == 1200 and len({(r.iteration, r.key) for r in got}) == 1200
+    assert all(sum(r.cluster == c and r.iteration == i for r in got) == 20 for c in "012" for i in range(20))
+    assert len({r.cluster for r in got if r.key == 0}) == 3
+    one = scoring.permutation_scores(members, spark.createDataFrame([("t:1", 3), ("t:1", 6)], "target string, key long"), 2, 1).collect()
+    assert {(r.target, r.iteration, r.r_union) for r in one} == {("t:1", 0, 1.0), ("t:1", 1, 1.0)}
+
+
+def test_mann_whitney_against_all_pairs(spark):
+    import random
+
+    rnd = random.Random(4)
+    a, b = [float(rnd.randint(0, 9)) for _ in range(14)], [float(rnd.randint(2, 12)) for _ in range(11)]
+    df = spark.createDataFrame([(1, 0, v) for v in a] + [(1, 1, v) for v in b], "g int, side int, v double")
+    r = statistics.mann_whitney(df, ["g"], "side", "v").first()
+    u = sum((x > y) + 0.5 * (x == y) for x in a for y in b)
+    ties = sum(t**3 - t for t in (sorted(a + b).count(v) for v in set(a + b)))
+    n = len(a) + len(b)
+    sd = math.sqrt(len(a) * len(b) / 12 * (n + 1 - ties / (n * (n - 1))))
+    z = (max(u, len(a) * len(b) - u) - len(a) * len(b) / 2 - 0.5) / sd
+    assert r.u == u and r.p_value == pytest.approx(math.erfc(z / math.sqrt(2)))
+
+
+def test_errors_and_sarif(spark, tmp_path):
+    from treeloom.sources import files
+
+    df = spark.createDataFrame([("Cannot find module 'x'; TypeError",), ("FATAL JavaScript heap out of memory",), ("TypeError",), ("",), (None,)], "e string")
+    assert [r[0] for r in df.select(values.error_class(F.col("e"))).collect()] == ["ModuleNotFound", "OutOfMemory", "TypeError", "OtherError", "OtherError"]
+    (tmp_path / "r.sarif").write_text('{"version": "2", "runs": [{"results": [{"ruleId": "a", "message": {"text": "m"}, "locations": []}, {"ruleId": "b", "message": {"text": "m"}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": "a%20b+c.js"}, "region": {"startLine": 3}}}, {"physicalLocation": {"artifactLocation": {"uri": "z"}, "region": {"startLine": 9}}}]}]}, {"results": []}]}')
+    assert [(r.id, r.rule_id, r.file_path, r.start_line, r.end_line, r.severity) for r in files.read_sarif(spark, str(tmp_path / "r.sarif")).collect()] == [(1, "b", "a b+c.js", 3, 3, "warning")]
+
+
 def test_markup():
+    assert [markup.category(h) for h in ("text only", '<script src=""></script>', '<script type="application/x-javascript">x</script>', " \n")] == ["inline_only", "inline_only", "with_dom", "empty"]
     assert [markup.category(h) for h in ("", "<script>a()</script>", '<script src="x.js"></script>', "<div></div>", '<script type="text/template">x</script>')] == ["empty", "inline_only", "external_only", "with_dom", "with_dom"]
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Script types that run, and tags that wrap a page.
-EXECUTABLE = {"", "text/javascript", "application/javascript", "application/x-javascript", "text/ecmascript", "application/ecmascript", "module"}
+EXECUTABLE = {"", "application/ecmascript", "application/javascript", "module", "text/ecmascript", "text/javascript"}
 WRAPPERS = {"html", "head", "body"}
 
 
@@ -24,9 +24,8 @@ class _Page(HTMLParser):
     def handle_starttag(self, tag, attrs):
         a = {k: (v or "") for k, v in attrs}
         if tag == "script":
-            src = a.get("src", "").strip()
-            if src:
-                self.external.append(src)
+            if "src" in a:
+                self.external += [a["src"].strip()] if a["src"].strip() else []
             elif a.get("type", "").strip().lower() in EXECUTABLE:
                 self._open = []
             else:
@@ -52,13 +51,11 @@ def parse(html: str | None) -> _Page:
 
 
 def category(html: str | None) -> str:
-    """``empty``, ``inline_only``, ``external_only`` or ``with_dom``."""
+    """``empty`` (blank), ``with_dom`` (an element besides scripts that run), ``external_only`` (scripts by reference), else ``inline_only``."""
     if not (html or "").strip():
         return "empty"
     p = parse(html)
-    if p.dom:
-        return "with_dom"
-    return "external_only" if p.external else "inline_only" if p.inline else "empty"
+    return "with_dom" if p.dom else "external_only" if p.external else "inline_only"
 
 
 def page_scripts(html: Column) -> Column:
@@ -69,7 +66,7 @@ def page_scripts(html: Column) -> Column:
 
 def markup_nodes(html: Column) -> Column:
     """Flat preorder nodes of a page's elements."""
-    return F.pandas_udf(_nodes, "array<struct<idx:int,begin:int,name:string,parent_idx:int>>")(html)
+    return F.pandas_udf(_nodes, "array<struct<idx:int,begin:int,name:string,parent_idx:int,subtree_end:int>>")(html)
 
 
 def _scripts(html: pd.Series) -> pd.DataFrame:
@@ -108,5 +105,9 @@ def _nodes(html: pd.Series) -> pd.Series:
         for line in text.split("\n"):
             t.lines.append(t.lines[-1] + len(line) + 1)
         t.feed(text)
-        out.append([{"idx": a, "begin": b, "name": c, "parent_idx": d} for a, b, c, d in t.nodes])
+        last = list(range(len(t.nodes)))
+        for a, _, _, up in reversed(t.nodes):
+            if up >= 0:
+                last[up] = max(last[up], last[a])
+        out.append([{"idx": a, "begin": b, "name": c, "parent_idx": d, "subtree_end": last[a]} for a, b, c, d in t.nodes])
     return pd.Series(out)

@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Error classes in the order in which they are tried.
-ERRORS = ("ModuleNotFoundError", "OutOfMemory", "ReferenceError", "TypeError", "SyntaxError", "RangeError")
+#: Error classes in the order in which they are tried, and what tells them.
+ERRORS = {
+    "ModuleNotFound": "Cannot find module",
+    "OutOfMemory": "JavaScript heap out of memory",
+    "ReferenceError": "ReferenceError",
+    "TypeError": "TypeError",
+    "SyntaxError": "SyntaxError",
+    "RangeError": "RangeError",
+}
 
 
 def normalize_value(v: Column) -> Column:
@@ -36,11 +43,8 @@ def class_id(level: int, content: Column, prefix: str) -> Column:
 
 
 def error_class(stderr: Column) -> Column:
-    """The first class that the text names, else ``Other``."""
-    out = F.lit("Other")
-    for e in reversed(ERRORS):
-        out = F.when(F.contains(stderr, F.lit("heap out of memory" if e == "OutOfMemory" else e)), F.lit(e)).otherwise(out)
-    return out
+    """The first class that the text tells, else (also for null) ``OtherError``."""
+    return F.coalesce(*[F.when(F.contains(stderr, F.lit(told)), F.lit(name)) for name, told in ERRORS.items()], F.lit("OtherError"))
 
 
 def words(text: Column) -> Column:

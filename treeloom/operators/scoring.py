@@ -38,17 +38,34 @@ def unknown_clusters(members: DataFrame, known: DataFrame, top_k: int) -> DataFr
     return members.join(bad, "cluster", "left_anti").groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).orderBy(F.desc("size"), "cluster").limit(top_k)
 
 
-def permuted(members: DataFrame, iterations: int, seed: int) -> DataFrame:
-    """Random memberships with the same cluster sizes, for every iteration.
+def _positions(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
+    """``rows`` with ``pos``: places from 0 in each group of ``keys`` by ``order`` (hex digits), without a window over a whole group.
 
-    Ids and cells are numbered inside hash buckets ordered by a seeded hash, so no window spans the table.
+    Rows are numbered inside buckets of the order's first three digits, of which there are 4,096, after the sizes of the buckets before.
     """
-    it = members.sparkSession.range(iterations).select(F.col("id").cast("int").alias("iteration"))
-    rows = members.crossJoin(F.broadcast(it)).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(64)))
-    by = W.partitionBy("iteration", "bucket")
-    ids = rows.select("iteration", "bucket", "key", F.row_number().over(by.orderBy(F.xxhash64(F.lit(seed), "iteration", "key"), "key")).alias("pos"))
-    cells = rows.select("iteration", "bucket", "cluster", F.row_number().over(by.orderBy("cluster", "key")).alias("pos"))
-    return ids.join(cells, ["iteration", "bucket", "pos"]).select("iteration", "key", "cluster")
+    df = rows.withColumn("_order", order).withColumn("_bucket", F.substring("_order", 1, 3))
+    size = df.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    offset = size.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy("_order")) - 1
+    return df.withColumn("_k", inside).join(offset, [*keys, "_bucket"]).withColumn("pos", F.col("_k") + F.col("_before")).drop("_order", "_bucket", "_k", "_before")
+
+
+def permuted(members: DataFrame, iterations: int, seed: int) -> DataFrame:
+    """(``iteration``, ``key``, ``cluster``): random memberships with the same cluster sizes, ids shuffled over the whole table by a seeded digest."""
+    shuffle = members.select("key", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"))
+    ids = _positions(shuffle, ["iteration"], F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("iteration").cast("string"), F.col("key").cast("string"))))
+    cells = _positions(members.withColumn("_all", F.lit(0)), ["_all"], F.md5(F.col("key").cast("string"))).select("cluster", "pos")
+    return ids.join(cells, "pos").select("iteration", "key", "cluster")
+
+
+def permutation_scores(members: DataFrame, truth: DataFrame, iterations: int, seed: int) -> DataFrame:
+    """(``target``, ``iteration``, and the columns of :func:`cluster_metrics`) of shuffled memberships."""
+    tag = lambda c: F.concat_ws(":", F.col("iteration").cast("string"), F.col(c).cast("string"))
+    shuffled = permuted(members, iterations, seed).select(tag("key").alias("key"), tag("cluster").alias("cluster"))
+    wanted = truth.select("key", "target", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration")).select(tag("target").alias("target"), tag("key").alias("key"))
+    got = cluster_metrics(shuffled, wanted)
+    return got.withColumn("iteration", F.substring_index("target", ":", 1).cast("int")).withColumn("target", F.expr("substring(target, length(substring_index(target, ':', 1)) + 2)"))
 
 
 def dispatch(tests: DataFrame, group: str, flags: list[str]) -> DataFrame:

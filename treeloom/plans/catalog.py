@@ -270,11 +270,24 @@ def unknown_top_clusters(spark, sf_dir):
     return scoring.unknown_clusters(members, _truth(spark, sf_dir), 20)
 
 
-@query("SELECT it.i::INT AS iteration, source AS cluster, count(*) AS size FROM documents, range(5) it(i) GROUP BY ALL")
-def permutation_baseline_sizes(spark, sf_dir):
-    """Random memberships keep the clusters' sizes."""
-    members = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("source").alias("cluster"))
-    return scoring.permuted(members, 5, 20260918).groupBy("iteration", "cluster").agg(F.count(F.lit(1)).alias("size"))
+@query(
+    f"""WITH {_LABELLED}, it AS (SELECT i::INT AS iteration FROM range(50) r(i)
+), ids AS (SELECT iteration, doc_id AS key, row_number() OVER (PARTITION BY iteration ORDER BY md5('20260918:' || iteration || ':' || doc_id)) AS pos FROM documents, it
+), cells AS (SELECT coalesce(source, '') AS cluster, row_number() OVER (ORDER BY md5(doc_id::VARCHAR)) AS pos FROM documents
+), m AS (SELECT iteration, key, cluster FROM ids JOIN cells USING (pos)
+), size AS (SELECT iteration, cluster, count(*) AS size FROM m GROUP BY ALL
+), h AS (SELECT target, iteration, cluster, size, count(*) AS hits FROM truth JOIN m USING (key) JOIN size USING (iteration, cluster) GROUP BY ALL
+), n AS (SELECT target, count(*) AS n_truth FROM truth GROUP BY target
+), s AS (SELECT target, iteration, sum(hits)::DOUBLE / any_value(n_truth) AS r, max(hits)::DOUBLE / any_value(n_truth) AS rm, sum(hits)::DOUBLE / sum(size) AS p FROM h JOIN n USING (target) GROUP BY ALL)
+SELECT target, count(*) AS n, round(avg(rm), 9) AS mean, round(quantile_cont(rm, 0.25), 9) AS q1, round(quantile_cont(rm, 0.5), 9) AS median, round(quantile_cont(rm, 0.75), 9) AS q3, round(var_pop(rm), 9) AS variance, round(avg(p), 9) AS mean_precision, round(avg(r), 9) AS mean_recall FROM s GROUP BY target"""
+)
+def permutation_baseline_scores(spark, sf_dir):
+    """Fifty shuffled memberships, each scored against the labels, and summarised: recall of the best cluster, and means of the union's."""
+    members = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.coalesce("source", F.lit("")).alias("cluster"))
+    got = stored(scoring.permutation_scores(members, _truth(spark, sf_dir), 50, 20260918), "permutations")
+    best = statistics.summary(got, ["target"], "r_max").drop("least", "largest")
+    means = got.groupBy("target").agg(F.round(F.avg("p_union"), 9).alias("mean_precision"), F.round(F.avg("r_union"), 9).alias("mean_recall"))
+    return best.join(means, "target").withColumns({c: F.round(c, 9) for c in ("mean", "q1", "median", "q3", "variance")})
 
 
 @query("SELECT lang, doc_id, n_chars, rank FROM (SELECT lang, doc_id, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents) WHERE rank <= 20")
@@ -294,7 +307,7 @@ def pair_hashes(spark, sf_dir):
 
 # --- samples: events -------------------------------------------------------------
 
-_T = ", ".join(f"({n}, {statistics.t_quantile(0.975, n - 1)!r}::DOUBLE)" for n in range(2, 61))
+_T = ", ".join(f"({n}, {statistics.t_quantile(0.975, n - 1)!r}::DOUBLE)" for n in range(2, 400))
 _DAYS = "(SELECT event_type, date_part('hour', ts)::INT AS hour, value FROM events)"
 _CI = f"""
 WITH s AS (SELECT user_id, event_type, count(value) AS n, avg(value) AS mean, stddev_samp(value) AS sd FROM events GROUP BY ALL HAVING count(value) >= 2
@@ -436,11 +449,9 @@ PAGE_PATTERNS = [
 @query()
 def page_pattern_matches(spark, sf_dir):
     """Declarative tree patterns over the element trees of all pages."""
-    pages = read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("code"), markup.markup_nodes(F.col("html")).alias("n"))
-    # a node's path follows from its parent's, which stands before it
-    paths = F.aggregate("n", F.array().cast("array<array<int>>"), lambda acc, x: F.concat(acc, F.array(F.when(x["parent_idx"] < 0, F.array().cast("array<int>")).otherwise(F.concat(F.get(acc, x["parent_idx"]), F.array(x["parent_idx"]))))))
-    made = pages.withColumn("paths", paths).withColumn("nodes", F.transform("n", lambda x, i: F.struct(x["name"].alias("name"), x["name"].alias("value"), x["begin"].alias("begin"), x["begin"].alias("end"), F.get(F.col("paths"), i).alias("parent"))))
-    return patterns.match_patterns(made, PAGE_PATTERNS).groupBy("id", "pattern_id").agg(F.count(F.lit(1)).alias("n_matches"), F.min("begin").alias("first"))
+    got = read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.explode(markup.markup_nodes(F.col("html"))).alias("n"))
+    elements = stored(got.select("id", F.lit("base").alias("side"), "n.idx", "n.parent_idx", "n.subtree_end", "n.name", F.col("n.name").alias("value"), F.lit("").alias("text"), "n.begin", F.col("n.begin").alias("end")), "elements")
+    return patterns.find_all(elements, PAGE_PATTERNS).groupBy("id", "pattern_id").agg(F.count(F.lit(1)).alias("n_matches"), F.min("begin").alias("first"))
 
 
 def _turns(spark, sf_dir) -> DataFrame:

@@ -113,6 +113,10 @@ def _table() -> tuple[list[tuple], list[tuple]]:
     return nodes, sizes
 
 
+#: The depth of the deepest node of any program.
+DEPTH = max(r[4] for r in _table()[0])
+
+
 def _statements(spark: SparkSession, sf_dir: str, read) -> DataFrame:
     """(``id``, ``side``, ``s``, ``t``, ``form``, ``digit``, ``changed``) of every statement."""
     part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_size")

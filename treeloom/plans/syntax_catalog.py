@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import syntax, trees
+from ..operators import generalize, patterns, syntax, trees
 from ..operators.storage import stored
 from . import programs
 from .registry import query, read
@@ -331,3 +331,108 @@ def program_augmented_head_actions(spark, sf_dir):
     acts = programs.actions(n)
     moved = n.where("side = 'base' and not changed and rel = 0 and s >= 0").select("id", "side", F.lit("move-tree").alias("action"), "idx", F.array().cast("array<int>").alias("ancestors"))
     return trees.augmented_head_actions(acts.unionByName(moved), programs.matches(n)).select("id", "action", "idx")
+
+
+# --- declarative patterns ---------------------------------------------------------
+
+_ANY = {"name": "*"}
+_ASK = {"name": "call_expression", "match": "descendant", "children": [{"name": "member_expression", "children": [{"name": "*", "bind": "o"}, {"name": "property_identifier", "value": "hasOwnProperty"}]}]}
+DECLARED = [
+    {"id": 1, "root": {"name": "for_in_statement", "children": [{"name": "identifier", "bind": "k"}, {"name": "in"}, {"name": "*", "bind": "o"}, {"name": "if_statement", "match": "descendant", "children": [_ASK, {"name": "while", "optional": True}]}]}},
+    {"id": 2, "root": {"name": "arguments", "children_mode": "exact", "children": [{"name": "number", "value": "0"}, {"name": ["number", "string"]}]}},
+    {"id": 3, "root": {"name": "expression_statement", "text": {"regex": "substr"}, "children": [{"name": "identifier", "match": "descendant", "value": {"regex": "^[sx][0-2]$"}}]}},
+]
+_IGN = ", ".join("'" + x.replace("'", "''") + "'" for x in patterns.IGNORED)
+_DECLARED = (
+    programs.SQL
+    + f""", txt AS (SELECT n.*, substr(code, begin_ + 1, end_ - begin_) AS text FROM nodes n JOIN codes c ON c.id = n.id AND c.side = n.side
+), kids AS (SELECT *, row_number() OVER (PARTITION BY id, side, parent_idx ORDER BY idx) AS r, count(*) OVER (PARTITION BY id, side, parent_idx) AS n FROM txt WHERE name NOT IN ({_IGN})
+), hits AS (
+  SELECT DISTINCT f.id, f.side, 1 AS pattern_id, f.idx, f.text FROM txt f JOIN kids a ON {_on("a", "f", "a.parent_idx = f.idx AND a.name = 'identifier'")} JOIN kids b ON {_on("b", "f", "b.parent_idx = f.idx AND b.name = 'in' AND b.idx > a.idx")} JOIN kids o ON {_on("o", "f", "o.parent_idx = f.idx AND o.idx > b.idx")}
+    JOIN kids i ON {_on("i", "f", "i.idx > o.idx AND i.idx <= f.subtree_end AND i.name = 'if_statement'")} JOIN kids c ON {_on("c", "i", "c.idx > i.idx AND c.idx <= i.subtree_end AND c.name = 'call_expression'")}
+    JOIN kids m ON {_on("m", "c", "m.parent_idx = c.idx AND m.name = 'member_expression'")} JOIN kids x ON {_on("x", "m", "x.parent_idx = m.idx AND x.text = o.text")} JOIN kids p ON {_on("p", "m", "p.parent_idx = m.idx AND p.idx > x.idx AND p.name = 'property_identifier' AND p.value = 'hasOwnProperty'")}
+  WHERE f.name = 'for_in_statement'
+  UNION ALL SELECT f.id, f.side, 2, f.idx, f.text FROM txt f JOIN kids a ON {_on("a", "f", "a.parent_idx = f.idx AND a.r = 1 AND a.n = 2 AND a.name = 'number' AND a.value = '0'")} JOIN kids b ON {_on("b", "f", "b.parent_idx = f.idx AND b.r = 2 AND b.name IN ('number', 'string')")} WHERE f.name = 'arguments'
+  UNION ALL SELECT DISTINCT f.id, f.side, 3, f.idx, f.text FROM txt f JOIN kids x ON {_on("x", "f", "x.idx > f.idx AND x.idx <= f.subtree_end AND x.name = 'identifier' AND regexp_matches(x.value, '^[sx][0-2]$')")} WHERE f.name = 'expression_statement' AND regexp_matches(f.text, 'substr')
+)"""
+)
+
+
+def texts(spark, sf_dir) -> DataFrame:
+    return stored(patterns.with_text(programs.program_nodes(spark, sf_dir, read), programs.program_codes(spark, sf_dir, read)), "texts")
+
+
+@query(_DECLARED + f" SELECT id, side, pattern_id, idx, substr(text, 1, {patterns.SNIPPET}) AS snippet FROM hits")
+def program_declared_patterns(spark, sf_dir):
+    """Declarative patterns with bindings, exact children, descendants, regular expressions and an optional child."""
+    return patterns.find_all(texts(spark, sf_dir), DECLARED).select("id", "side", "pattern_id", "idx", "snippet")
+
+
+_SLOW_SPECS = [{"id": 3, "root": {"name": "call_expression", "children": [{"name": "identifier", "value": "String"}, {"name": "arguments", "children_mode": "exact", "children": [_ANY]}]}}, {"id": 6, "root": {"name": "property_identifier", "value": "split"}}]
+_FAST_SPECS = [{"id": 3, "root": {"name": "binary_expression", "children": [{"name": "string"}, {"name": "+"}]}}, {"id": 6, "root": {"name": "property_identifier", "value": "replace"}}]
+
+
+@query(
+    programs.SQL
+    + f""", hit AS (
+  SELECT DISTINCT c.id, c.side, 3 AS pattern_id, 'slow' AS kind FROM nodes c JOIN nodes i ON {_on("i", "c", "i.parent_idx = c.idx AND i.name = 'identifier' AND i.value = 'String'")} JOIN nodes a ON {_on("a", "c", "a.parent_idx = c.idx AND a.name = 'arguments'")}
+    WHERE c.name = 'call_expression' AND (SELECT count(*) FROM nodes x WHERE {_on("x", "a", f"x.parent_idx = a.idx AND x.name NOT IN ({_IGN})")}) = 1
+  UNION SELECT id, side, 6, 'slow' FROM nodes WHERE name = 'property_identifier' AND value = 'split'
+  UNION SELECT DISTINCT b.id, b.side, 3, 'fast' FROM nodes b JOIN nodes s ON {_on("s", "b", "s.parent_idx = b.idx AND s.name = 'string'")} JOIN nodes p ON {_on("p", "b", "p.parent_idx = b.idx AND p.name = '+' AND p.idx > s.idx")} WHERE b.name = 'binary_expression'
+  UNION SELECT id, side, 6, 'fast' FROM nodes WHERE name = 'property_identifier' AND value = 'replace'
+), flag AS (SELECT id, pattern_id, bool_or(kind = 'slow' AND side = 'base') AS sb, bool_or(kind = 'slow' AND side = 'head') AS sh, bool_or(kind = 'fast' AND side = 'base') AS fb, bool_or(kind = 'fast' AND side = 'head') AS fh FROM hit GROUP BY ALL)
+SELECT id, pattern_id, sb AS slow_base, sb AND sh AS slow_head, fh AND fb AS fast_base, fh AS fast_head, sb AND NOT sh AND fh AND NOT fb AS transition FROM flag WHERE sb OR fh"""
+)
+def program_transitions(spark, sf_dir):
+    t = texts(spark, sf_dir)
+    hits = lambda specs: patterns.find_all(t, specs).select("id", "side", "pattern_id").distinct()
+    return patterns.transitions(hits(_SLOW_SPECS), hits(_FAST_SPECS))
+
+
+# --- generalisation -----------------------------------------------------------------
+
+_ADDRESSED = (
+    programs.SQL
+    + """, placed_nodes AS (SELECT *, row_number() OVER (PARTITION BY id, side, parent_idx ORDER BY idx) - 1 AS place FROM nodes WHERE side = 'base'
+), adr AS (SELECT n.id, n.idx, any_value(n.name) AS name, any_value(n.value) AS value, string_agg(CASE WHEN a.depth = 0 THEN '0' ELSE lpad(a.place::VARCHAR, 5, '0') END, '.' ORDER BY a.depth) AS address FROM placed_nodes n JOIN placed_nodes a ON a.id = n.id AND n.idx BETWEEN a.idx AND a.subtree_end GROUP BY n.id, n.idx
+)"""
+)
+
+
+def _addressed(spark, sf_dir) -> DataFrame:
+    n = programs.program_nodes(spark, sf_dir, read).where("side = 'base'")
+    return stored(generalize.addressed(stored(n, "base"), programs.DEPTH), "addresses")
+
+
+@query(_ADDRESSED + " SELECT id, idx, address FROM adr")
+def program_addresses(spark, sf_dir):
+    return _addressed(spark, sf_dir).select("id", "idx", "address")
+
+
+_CLUSTER_SQL = "((id % 60 + 1) * 100 + p_size)::VARCHAR"
+
+
+@query(
+    _ADDRESSED
+    + f""", tree AS (SELECT {_CLUSTER_SQL} AS cluster, id AS tree, address, name, value FROM adr JOIN part ON p_partkey = id
+), total AS (SELECT cluster, count(DISTINCT tree) AS n_trees FROM tree GROUP BY cluster
+), g AS (SELECT cluster, address, count(*) AS n, min(name) AS a, max(name) AS b, min(value) AS v, max(value) AS w, regexp_replace(address, '[.]?[0-9]+$', '') AS parent FROM tree GROUP BY ALL
+), k AS (SELECT g.*, CASE WHEN n < n_trees THEN 'tail_hole' WHEN a <> b THEN 'node_hole' WHEN v <> w THEN 'value_hole' ELSE 'concrete' END AS kind FROM g JOIN total USING (cluster)
+), f AS (SELECT *, min(CASE WHEN kind = 'tail_hole' THEN address END) OVER (PARTITION BY cluster, parent) AS first FROM k
+), kept AS (SELECT * FROM f WHERE kind <> 'tail_hole' OR address = first)
+SELECT cluster, address, kind, CASE WHEN kind IN ('concrete', 'value_hole') THEN a END AS name, CASE WHEN kind = 'concrete' THEN v END AS value FROM kept x
+WHERE NOT EXISTS (SELECT 1 FROM kept h WHERE h.cluster = x.cluster AND h.kind IN ('tail_hole', 'node_hole') AND starts_with(x.address, h.address || '.'))"""
+)
+def program_generalisations(spark, sf_dir):
+    """The least general tree of groups of programs."""
+    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (((F.col("p_partkey") % 60) + 1) * 100 + F.col("p_size")).cast("string").alias("cluster"))
+    got = _addressed(spark, sf_dir).join(part, "id")
+    return generalize.anti_unify(got.select("cluster", F.col("id").alias("tree"), "address", "name", "value"))
+
+
+@query(SCOPES + " SELECT c.id, c.side, c.idx, coalesce(max(u.idx), -1) AS up FROM cut c JOIN nodes n ON n.id = c.id AND n.side = c.side AND n.idx = c.idx LEFT JOIN (SELECT cut.*, subtree_end FROM cut JOIN nodes USING (id, side, idx) WHERE scope = 'Brother') u ON u.id = c.id AND u.side = c.side AND c.idx > u.idx AND c.idx <= u.subtree_end WHERE c.scope = 'Brother' GROUP BY ALL")
+def program_cut_forest(spark, sf_dir):
+    """The forest of every Brother cut: nodes hang under their nearest ancestor in the cut."""
+    n = nodes(spark, sf_dir)
+    cut = trees.scope_blocks(n, programs.actions(n)).where("scope = 'Brother'").select("id", "side", "idx").distinct()
+    return generalize.reattached(cut, n)

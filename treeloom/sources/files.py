@@ -46,11 +46,14 @@ SARIF = "version string, runs array<struct<results:array<struct<ruleId:string,le
 
 
 def read_sarif(spark: SparkSession, path: str) -> DataFrame:
-    """Findings of SARIF reports, one row for each location."""
-    df = read_json(spark, path, SARIF).select(F.explode("runs").alias("r")).select(F.explode("r.results").alias("x")).select("x.*", F.explode("x.locations.physicalLocation").alias("l"))
+    """Findings of the first run of each SARIF report at their first location, with decoded paths; ``id`` is the place among the run's results.  Results without a region are left out."""
+    results = read_json(spark, path, SARIF).select(F.posexplode(F.get("runs", F.lit(0))["results"]).alias("id", "x"))
+    first = F.get("x.locations", F.lit(0))["physicalLocation"]
+    df = results.select("id", "x.*", first.alias("l")).where("l.region is not null")
     return df.select(
+        "id",
         F.col("ruleId").alias("rule_id"),
-        F.col("l.artifactLocation.uri").alias("file_path"),
+        F.url_decode(F.replace("l.artifactLocation.uri", F.lit("+"), F.lit("%2B"))).alias("file_path"),
         F.col("l.region.startLine").alias("start_line"),
         F.coalesce("l.region.endLine", "l.region.startLine").alias("end_line"),
         F.col("l.region.startColumn").alias("start_column"),
