@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import generalize, patterns, syntax, trees
+from ..operators import features, generalize, observation, patterns, selection, syntax, trees
 from ..operators.storage import stored
 from . import programs
 from .registry import query, read
@@ -436,3 +436,175 @@ def program_cut_forest(spark, sf_dir):
     n = nodes(spark, sf_dir)
     cut = trees.scope_blocks(n, programs.actions(n)).where("scope = 'Brother'").select("id", "side", "idx").distinct()
     return generalize.reattached(cut, n)
+
+
+# --- choosing a scope, features, summaries ------------------------------------------
+
+_CAND = (
+    SCOPES
+    + f""", member AS (SELECT c.id, c.side, c.scope, CASE c.scope WHEN 'Diff' THEN 1 WHEN 'Brother' THEN 2 WHEN 'ExParent' THEN 3 ELSE 4 END AS place, n.idx, n.subtree_end = n.idx AS leaf, n.name, n.value FROM cut c JOIN nodes n ON n.id = c.id AND n.side = c.side AND n.idx = c.idx
+), cand0 AS (
+  SELECT id, side, scope, any_value(place) AS place, list(idx ORDER BY idx) AS node_list, string_agg(regexp_escape(value), '\\s*' ORDER BY idx) FILTER (WHERE leaf AND trim(value) <> '') AS regex, count(*) FILTER (WHERE leaf) AS n_leaf,
+    bool_or(leaf AND (name IN ({", ".join(f"'{x}'" for x in selection.TRIVIAL_NAMES)}) OR value IN ({", ".join(programs._literal(x) for x in selection.TRIVIAL_VALUES)}) OR trim(value) = '' OR starts_with(value, 'VAR_') OR starts_with(value, 'FUNCTION_') OR starts_with(value, 'KEY_'))) AS trivial
+  FROM member GROUP BY id, side, scope
+), cand AS (SELECT id, side, node_list, min(place) AS place, arg_min(scope, place) AS scope, arg_min(regex, place) AS regex FROM cand0 WHERE NOT (n_leaf = 1 AND trivial) GROUP BY id, side, node_list
+), diff_of AS (SELECT id, side, coalesce(max(CASE WHEN scope = 'Diff' THEN place END), arg_min(place, len(node_list) * 10 + place)) AS place FROM cand GROUP BY id, side
+), base AS (SELECT c.id, c.side, c.node_list AS diff FROM cand c JOIN diff_of d ON d.id = c.id AND d.side = c.side AND d.place = c.place
+), ups AS (SELECT DISTINCT b.id, b.side, n.parent_idx FROM (SELECT id, side, unnest(diff) AS idx FROM base) b JOIN nodes n ON n.id = b.id AND n.side = b.side AND n.idx = b.idx WHERE n.parent_idx >= 0
+), share AS (SELECT c.id, c.side, c.place, k.parent_idx, count(*) FILTER (WHERE list_contains(c.node_list, k.idx))::DOUBLE / count(*) AS share FROM cand c JOIN ups u ON u.id = c.id AND u.side = c.side JOIN nodes k ON k.id = u.id AND k.side = u.side AND k.parent_idx = u.parent_idx GROUP BY ALL
+), score AS (
+  SELECT c.id, c.side, c.scope, c.place, len(c.node_list) AS n_nodes, regexp_matches(code, regex) AS found, len(diff)::DOUBLE / len(c.node_list) AS dr, coalesce((SELECT avg(share) FROM share s WHERE s.id = c.id AND s.side = c.side AND s.place = c.place), 0) AS sc
+  FROM cand c JOIN base b ON b.id = c.id AND b.side = c.side JOIN codes o ON o.id = c.id AND o.side = c.side
+), final AS (SELECT *, CASE WHEN dr + sc > 0 THEN 2 * dr * sc / (dr + sc) ELSE 0 END AS score FROM score)"""
+)
+
+
+def _candidates(spark, sf_dir) -> DataFrame:
+    n = nodes(spark, sf_dir)
+    cut = stored(trees.scope_spans(n, programs.actions(n)).select("id", "side", "scope", F.explode(F.sequence("lo", "end")).alias("idx")).distinct(), "cut")
+    found = selection.with_search(selection.candidates(n, cut), programs.program_codes(spark, sf_dir, read))
+    return selection.scored(stored(found, "candidates"), n)
+
+
+@query(_CAND + " SELECT id, side, scope, n_nodes, coalesce(found, false) AS found, round(dr, 9) AS diff_ratio, round(sc, 9) AS completeness, round(score, 9) AS score FROM final")
+def program_scope_candidates(spark, sf_dir):
+    """Scopes that differ and tell something, searched in the source and scored, on both sides."""
+    got = _candidates(spark, sf_dir)
+    return got.select("id", "side", "scope", F.size("nodes").cast("long").alias("n_nodes"), "found", *[F.round(c, 9).alias(c) for c in ("diff_ratio", "completeness", "score")])
+
+
+@query(_CAND + " SELECT id, side, arg_max(scope, (round(score, 12), -place)) AS scope, round(max(score), 9) AS score FROM final WHERE found GROUP BY ALL")
+def program_best_scopes(spark, sf_dir):
+    return selection.best_scope(_candidates(spark, sf_dir)).withColumn("score", F.round("score", 9))
+
+
+_MARKS = ", ".join(f"'{x}'" for x in features.MARKS)
+_FEATURES = (
+    NAV
+    + f""", kid AS (SELECT * FROM nodes WHERE parent_idx >= 0
+), spot AS (SELECT f.id, f.side, f.idx, min(k.idx) FILTER (WHERE k.name = '(') AS open, max(k.idx) FILTER (WHERE k.name = ')') AS shut FROM nodes f JOIN kid k ON {_on("k", "f", "k.parent_idx = f.idx")} WHERE f.name = 'for_statement' GROUP BY ALL
+), head AS (SELECT s.id, s.side, s.idx, list(k.idx ORDER BY k.idx) AS h FROM spot s JOIN kid k ON {_on("k", "s", "k.parent_idx = s.idx AND k.idx > open AND k.idx < shut")} GROUP BY ALL
+), word AS (SELECT f.id, f.side, f.idx, min(k.idx) AS op, bool_or(k.name = 'of') AS has_of FROM nodes f JOIN kid k ON {_on("k", "f", "k.parent_idx = f.idx AND k.name IN ('in', 'of')")} WHERE f.name = 'for_in_statement' GROUP BY ALL
+), raw AS (
+  SELECT f.id, f.side, f.idx, 'for_statement' AS feature_type, NULL AS value, h[1] AS i, h[2] AS c, h[3] AS a, NULL::INT AS it FROM nodes f LEFT JOIN head USING (id, side, idx) WHERE f.name = 'for_statement'
+  UNION ALL SELECT w.id, w.side, w.idx, CASE WHEN has_of THEN 'for_of_statement' ELSE 'for_in_statement' END, NULL, NULL, NULL, NULL, (SELECT min(k.idx) FROM kid k WHERE {_on("k", "w", "k.parent_idx = w.idx AND k.idx > w.op AND k.name <> ')' AND k.name NOT IN ('in', 'of')")}) FROM word w
+  UNION ALL SELECT f.id, f.side, f.idx, f.name, NULL, NULL, (SELECT min(k.idx) FROM kid k WHERE {_on("k", "f", "k.parent_idx = f.idx AND k.name = 'parenthesized_expression'")}), NULL, NULL FROM nodes f WHERE f.name IN ('while_statement', 'do_statement')
+  UNION ALL SELECT id, side, idx, 'if_statement', NULL, NULL, NULL, NULL, NULL FROM nodes WHERE name = 'if_statement'
+  UNION ALL SELECT id, side, idx, 'call_exp', value, NULL, NULL, NULL, NULL FROM nodes WHERE name = 'property_identifier'
+  UNION ALL SELECT f.id, f.side, f.idx, 'new_exp', (SELECT arg_min(k.value, k.idx) FROM kid k WHERE {_on("k", "f", "k.parent_idx = f.idx AND k.name = 'identifier'")}), NULL, NULL, NULL, NULL FROM nodes f WHERE f.name = 'new_expression'
+), root AS (SELECT DISTINCT id, side, unnest([i, c, a, it]) AS root FROM raw
+), frag_of AS (
+  SELECT r.id, r.side, r.root, string_agg((n.depth - t.depth) || ':' || CASE WHEN n.value <> n.name THEN n.name || '=' || n.value ELSE n.name END, ' ' ORDER BY n.idx) AS fragment
+  FROM root r JOIN nodes t ON {_on("t", "r", "t.idx = r.root")} JOIN nodes n ON {_on("n", "r", f"n.idx BETWEEN t.idx AND t.subtree_end AND n.name NOT IN ({_MARKS})")} GROUP BY ALL
+), feature AS (
+  SELECT raw.id, raw.side, raw.idx, feature_type, value, x1.fragment AS initialization, x2.fragment AS condition, x3.fragment AS afterthought, x4.fragment AS iterable FROM raw
+  LEFT JOIN frag_of x1 ON {_on("x1", "raw", "x1.root = i")} LEFT JOIN frag_of x2 ON {_on("x2", "raw", "x2.root = c")} LEFT JOIN frag_of x3 ON {_on("x3", "raw", "x3.root = a")} LEFT JOIN frag_of x4 ON {_on("x4", "raw", "x4.root = it")}
+)"""
+)
+
+
+@query(_FEATURES + " SELECT * FROM feature")
+def program_features(spark, sf_dir):
+    return features.extract(facts(spark, sf_dir))
+
+
+@query(_FEATURES + " SELECT feature_type, value, initialization, condition, afterthought, iterable, count(DISTINCT id) AS origin_num, min(id) AS first_id, max(id) AS last_id FROM feature GROUP BY ALL")
+def program_feature_groups(spark, sf_dir):
+    """Equal features of all programs with their numbers of origins."""
+    got = features.integrate(features.extract(facts(spark, sf_dir)))
+    content = F.from_json("feature", "feature_type string, value string, initialization string, condition string, afterthought string, iterable string")
+    return got.select(content.alias("f"), "origin_num", F.array_min("ids").alias("first_id"), F.array_max("ids").alias("last_id")).select("f.*", "origin_num", "first_id", "last_id")
+
+
+_LINKS = AFTER + " , m AS (SELECT s.id, s.pattern_id, s.confidence, s.idx, n.begin_ AS begin_at, l.idx IS NOT NULL AS diff_linked, l.diff_reason FROM slow s JOIN nodes n ON n.id = s.id AND n.side = s.side AND n.idx = s.idx LEFT JOIN linked l ON l.id = s.id AND l.pattern_id = s.pattern_id AND l.idx = s.idx WHERE s.side = 'base')"
+
+
+def _links(spark, sf_dir) -> DataFrame:
+    f = facts(spark, sf_dir)
+    linked = syntax.link_matches(syntax.find_slow_forms(f), f, programs.actions(f))
+    return linked.join(f.select("id", "side", "idx", F.col("begin").alias("begin_at")), ["id", "side", "idx"])
+
+
+@query(_LINKS + " SELECT id, pattern_id, bool_or(diff_linked) AS diff_linked, arg_min(idx, (NOT diff_linked, begin_at)) AS idx, arg_min(diff_reason, (NOT diff_linked, begin_at)) AS diff_reason FROM m GROUP BY ALL")
+def program_link_rollup(spark, sf_dir):
+    """One row for each record and pattern: a linked match first, then the one that begins first."""
+    first = F.min(F.struct(~F.col("diff_linked"), "begin_at", "idx", "diff_reason")).alias("x")
+    return _links(spark, sf_dir).groupBy("id", "pattern_id").agg(F.bool_or("diff_linked").alias("diff_linked"), first).select("id", "pattern_id", "diff_linked", "x.idx", "x.diff_reason")
+
+
+@query(_LINKS + ", r AS (SELECT id, pattern_id, bool_or(diff_linked) AS linked FROM m GROUP BY ALL) SELECT k::INT AS pattern_id, count(id) AS total, count(*) FILTER (WHERE linked) AS linked, count(*) FILTER (WHERE NOT linked) AS unlinked FROM range(1, 11) p(k) LEFT JOIN r ON r.pattern_id = k GROUP BY k")
+def program_pattern_totals(spark, sf_dir):
+    """Records with each of the ten patterns, linked or not; zero where there are none."""
+    r = _links(spark, sf_dir).groupBy("id", "pattern_id").agg(F.bool_or("diff_linked").alias("linked"))
+    per = r.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("total"), F.count_if("linked").alias("linked"), F.count_if(~F.col("linked")).alias("unlinked"))
+    ten = spark.range(1, 11).select(F.col("id").cast("int").alias("pattern_id"))
+    return ten.join(per, "pattern_id", "left").select("pattern_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("total", "linked", "unlinked")])
+
+
+# --- observations: turns of conversations stand for two programs' runs -----------------
+
+_WORDS = "list_filter(regexp_split_to_array(lower({c}), '[^a-z]+'), lambda x: x <> '')"
+_OBS = f"""
+WITH p AS (SELECT u.conv_id, u.turn AS t, u.text AS f, a.text AS s FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant' AND u.text IS NOT NULL AND a.text IS NOT NULL
+), w AS (SELECT *, {_WORDS.format(c="f")} AS wf, {_WORDS.format(c="s")} AS ws FROM p
+), o AS (
+  SELECT *, (length(f) % 11) <> 0 AND (length(s) % 11) <> 0 AS success, length(f) % 7 = 0 AS ef, length(s) % 7 = 0 AS es, length(f) % 2 AS outf, length(s) % 2 AS outs, length(f) % 3 = 0 AS errf, length(s) % 3 = 0 AS errs,
+    list_sort(list_distinct(list_filter(list_intersect(wf, ws), lambda k: len(list_filter(wf, lambda x: x = k)) <> len(list_filter(ws, lambda x: x = k))))) AS differ FROM w
+), v AS (
+  SELECT conv_id, t, len(differ) AS n_differ, CASE WHEN trim(f) = '' OR trim(s) = '' THEN '0empty' WHEN f = s THEN '0identical' WHEN length(f) % 13 = 0 THEN '0undeterminizable' WHEN NOT success THEN '1verification_failed' WHEN ef <> es THEN '1exit_status_mismatch' WHEN outf <> outs THEN '1stdout_mismatch' WHEN errf <> errs THEN '1stderr_mismatch'
+    WHEN len(differ) > 0 THEN '2variable_mismatch' WHEN length(s) % 2 = 0 AND wf[len(wf)] <> ws[len(ws)] THEN '3completion_value_mismatch' END AS verdict FROM o)"""
+
+
+def _observed(spark, sf_dir) -> DataFrame:
+    c = read(spark, sf_dir, "conversations").where("text is not null")
+    user = c.where("role = 'user'").select("conv_id", F.col("turn").alias("t"), F.col("text").alias("fast_code"))
+    reply = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("t"), F.col("text").alias("slow_code"))
+    p = user.join(reply, ["conv_id", "t"]).withColumn("determinized", F.length("fast_code") % 13 != 0)
+    for side in ("fast", "slow"):
+        n = F.length(f"{side}_code")
+        w = F.filter(F.split(F.lower(f"{side}_code"), "[^a-z]+"), lambda x: x != "")
+        p = p.withColumn(side, F.struct(F.when(n % 11 != 0, "success").otherwise("error").alias("status"), (n % 7 == 0).cast("int").alias("exit_code"), observation.observed((n % 2).cast("string")).alias("stdout"), observation.observed((n % 3 == 0).cast("string")).alias("stderr")))
+        p = p.withColumn("w", w).withColumn(f"{side}_values", F.map_from_entries(F.transform(F.array_distinct("w"), lambda k: F.struct(k.alias("key"), F.struct(F.sha2(F.size(F.filter("w", lambda x: x == k)).cast("string"), 256).alias("s"), F.lit(None).cast("string").alias("v")).alias("value")))))
+        last = F.try_element_at("w", F.lit(-1))
+        p = p.withColumn(f"{side}_completion", F.when(last.isNotNull(), F.struct(F.sha2(last, 256).alias("s"), F.lit(None).cast("string").alias("v")))).drop("w")
+    return p.withColumn("comparable", F.length("slow_code") % 2 == 0)
+
+
+@query(_OBS + " SELECT conv_id, t, substr(verdict, 1, 1)::INT AS step, substr(verdict, 2) AS reason FROM v")
+def observed_pair_verdicts(spark, sf_dir):
+    """Pairs judged by texts, outputs, variables and completion values."""
+    return observation.judge_pairs(_observed(spark, sf_dir)).select("conv_id", "t", "step", "reason")
+
+
+@query(_OBS + " SELECT conv_id, t, n_differ FROM v")
+def observed_value_mismatches(spark, sf_dir):
+    """Common variables that differ."""
+    return _observed(spark, sf_dir).select("conv_id", "t", F.size(observation.mismatched(F.col("fast_values"), F.col("slow_values"))).cast("long").alias("n_differ"))
+
+
+@query("SELECT role, turn % 4 AS attempt_kind, CASE WHEN length(text) % 3 = 0 THEN NULL WHEN role IN ('error', 'warning', 'trace', 'assert') OR turn % 2 = 1 THEN 'stderr' ELSE 'stdout' END AS stream, count(*) AS n FROM conversations GROUP BY ALL")
+def console_routing(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations")
+    kind = F.when(F.col("turn") % 2 == 1, "warning").otherwise(F.col("role"))
+    return c.groupBy("role", (F.col("turn") % 4).alias("attempt_kind"), observation.console_stream(kind, F.length("text") % 3).alias("stream")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY (value < 50), CASE WHEN value < 50 THEN -event_id ELSE event_id END) AS r FROM events) WHERE r = 1")
+def last_attempts(spark, sf_dir):
+    """Of each user's events of a kind the first that succeeded (50 or more), else the last."""
+    e = read(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value", F.col("event_id").alias("attempt"), (F.col("value") < 50).alias("failed"))
+    return observation.last_attempt(e, ["user_id", "event_type"]).select("user_id", "event_type", "event_id", "value")
+
+
+_U2 = """
+WITH s AS (SELECT event_type, CASE WHEN user_id % 2 = 0 THEN 0 ELSE 1 END AS side, value FROM events), c AS (SELECT event_type, value, count(*) FILTER (WHERE side = 0) AS c0, count(*) FILTER (WHERE side = 1) AS c1 FROM s GROUP BY ALL
+), r AS (SELECT *, coalesce(sum(c1) OVER (PARTITION BY event_type ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lower_c1 FROM c
+), u AS (SELECT event_type, sum(c0)::BIGINT AS n0, sum(c1)::BIGINT AS n1, 2 * sum(c0 * (lower_c1 + c1 / 2.0))::DOUBLE / (sum(c0) * sum(c1)) - 1 AS d FROM r GROUP BY event_type
+), g AS (SELECT event_type, side, avg(value) AS mean, quantile_cont(value, 0.5) AS median, stddev_samp(value) AS sd FROM s GROUP BY ALL)"""
+
+
+@query(_U2 + " SELECT u.event_type, round(a.mean, 6) AS mean0, round(a.median, 6) AS median0, round(a.sd, 6) AS sd0, round(b.mean, 6) AS mean1, round(b.median, 6) AS median1, round(b.sd, 6) AS sd1, CASE WHEN abs(d) < 0.147 THEN 'negligible' WHEN abs(d) < 0.33 THEN 'small' WHEN abs(d) < 0.474 THEN 'medium' ELSE 'large' END AS effect FROM u JOIN g a ON a.event_type = u.event_type AND a.side = 0 JOIN g b ON b.event_type = u.event_type AND b.side = 1")
+def two_sample_report(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("event_type", F.when(F.col("user_id") % 2 == 0, 0).otherwise(1).alias("side"), "value")
+    got = observation.sample_report(e, ["event_type"], "side", "value")
+    return got.select("event_type", *[F.round(c, 6).alias(c) for c in ("mean0", "median0", "sd0", "mean1", "median1", "sd1")], "effect")
