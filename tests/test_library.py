@@ -173,6 +173,42 @@ def test_dispatch(spark):
     assert {r.g: r.env for r in scoring.dispatch(df, "g", ["node", "npm", "playwright"]).collect()} == {"a": "node", "b": "npm", "c": "mixed_env", "d": "insufficient_pair"}
 
 
+def test_history_is_cut_at_any_height():
+    import random
+
+    rnd = random.Random(6)
+    for _ in range(20):
+        ids = list(range(9))
+        sims = {(a, b): rnd.choice([0.5, 0.6, 0.7, 0.8, 0.9]) for a in ids for b in ids if a < b and rnd.random() < 0.7}
+        history = similarity.merge_history(ids, sims, 0.5)
+        for tau in (0.5, 0.6, 0.75, 0.9):
+            cut = similarity.cut_history(ids, history, tau)
+            assert cut == similarity.agglomerate(ids, sims, tau)
+            assert all(sims.get((a, b), 0) >= tau for c in cut for a in c for b in c if a < b)
+    with pytest.raises(ValueError):
+        similarity.cut_history([1, 2, 3], [(0.5, 1, 2), (0.6, 1, 3)], 0.4)
+
+
+def test_anchored_generalisation(spark):
+    small = ("s", "1")
+    a = ("p", "x", ("f", "u", ("k", "1"), ("k", "2")), small)
+    b = ("q", "y", ("f", "u", ("k", "1"), ("k", "2")), small)
+    t = generalize.addressed(tree(spark, a, b), 2).select(F.lit("c").alias("cluster"), F.col("id").alias("tree"), "idx", "subtree_end", "address", "name", "value")
+    got = [(r.anchor, r.address, r.kind, r.value) for r in generalize.anti_unify_anchored(t).orderBy("address").collect()]
+    assert got == [("f", "0", "concrete", "u"), ("f", "0.00000", "concrete", "1"), ("f", "0.00001", "concrete", "2")]
+
+
+def test_shards_and_texts(spark, tmp_path):
+    from treeloom.sources import files
+
+    one, two = spark.createDataFrame([(1, "a")], "k long, value string"), spark.createDataFrame([(2, "b")], "k long, value string")
+    assert files.merge_shards([one, two], ["k"]).count() == 2
+    with pytest.raises(ValueError):
+        files.merge_shards([one, one], ["k"])
+    files.write_texts(files.merge_shards([one, two], ["k"]), str(tmp_path / "t"), ["k"])
+    assert sorted(p.name for p in (tmp_path / "t").glob("k=*")) == ["k=1", "k=2"]
+
+
 def test_permutations_are_free(spark):
     members = spark.createDataFrame([(k, str(k % 3)) for k in range(60)], "key long, cluster string")
     got = scoring.permuted(members, 20, 1).collect()

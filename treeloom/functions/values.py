@@ -87,3 +87,13 @@ def slug_id(i: Column) -> Column:
 
 def is_punctuation(name: Column, marks: tuple[str, ...]) -> Column:
     return F.trim(name).isin(*marks)
+
+
+def program_of(segments: list[Column]) -> Column:
+    """The segments that aren't blank, one below the other."""
+    return F.concat_ws("\n", *[F.when(F.trim(s) != "", s) for s in segments])
+
+
+def before_suffix(text: Column, suffix: Column) -> Column:
+    """What stands before ``suffix`` at the end of ``text``, null if it doesn't end so."""
+    return F.when(F.endswith(text, suffix), F.left(text, F.length(text) - F.length(suffix)))

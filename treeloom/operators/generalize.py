@@ -56,6 +56,24 @@ def anti_unify(trees: DataFrame) -> DataFrame:
     return kept.select("cluster", "address", "kind", F.when(named, F.col("name")).alias("name"), F.when(F.col("kind") == "concrete", F.col("value")).alias("value"))
 
 
+def anti_unify_anchored(trees: DataFrame) -> DataFrame:
+    """:func:`anti_unify` below the best common node: (``cluster``, ``anchor``, ``address``, ``kind``, ``name``, ``value``).
+
+    Every name that all trees of a cluster have is tried, each tree giving its largest subtree of that name (the first among equals); the
+    result with the most concrete places stays, the first name in order among equals.  ``trees`` also has ``idx`` and ``subtree_end``.
+    """
+    size = trees.groupBy("cluster").agg(F.count_distinct("tree").alias("n"))
+    largest = trees.groupBy("cluster", "tree", "name").agg(F.max(F.struct((F.col("subtree_end") - F.col("idx")).alias("size"), (-F.col("idx")).alias("first"), "address", "subtree_end")).alias("x"))
+    common = largest.groupBy("cluster", "name").agg(F.count(F.lit(1)).alias("have")).join(size, "cluster").where("have = n").select("cluster", "name")
+    tops = largest.join(common, ["cluster", "name"]).select(F.col("cluster").alias("_c"), F.col("tree").alias("_t"), F.col("name").alias("anchor"), (-F.col("x.first")).alias("lo"), F.col("x.subtree_end").alias("hi"), F.col("x.address").alias("above"))
+    below = trees.join(tops, (F.col("cluster") == F.col("_c")) & (F.col("tree") == F.col("_t")) & F.col("idx").between(F.col("lo"), F.col("hi")))
+    rooted = below.select(F.to_json(F.struct("cluster", "anchor")).alias("cluster"), "tree", F.concat(F.lit("0"), F.expr("substring(address, length(above) + 1)")).alias("address"), "name", "value")
+    got = anti_unify(rooted).withColumn("at", F.from_json("cluster", "cluster string, anchor string")).select("at.cluster", "at.anchor", "address", "kind", "name", "value")
+    score = got.groupBy("cluster", "anchor").agg(F.count_if(F.col("kind") == "concrete").alias("concrete"))
+    best = score.groupBy("cluster").agg(F.min(F.struct((-F.col("concrete")).alias("less"), "anchor")).alias("b")).select("cluster", F.col("b.anchor").alias("anchor"))
+    return got.join(best, ["cluster", "anchor"]).select("cluster", "anchor", "address", "kind", "name", "value")
+
+
 def alignment(left: list, right: list) -> list[tuple[int, int]]:
     """Index pairs of a longest common subsequence; where several are longest, the one that passes over the left side's items first."""
     a, b = np.array(left, object), np.array(right, object)

@@ -96,3 +96,7 @@ def summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.25)).alias("q1"), F.percentile(v, F.lit(0.5)).alias("median"), F.percentile(v, F.lit(0.75)).alias("q3"), F.var_pop(v).alias("variance"), F.min(v).alias("least"), F.max(v).alias("largest"))
 
 
+def spread(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Mean, population deviation, the middle 95 percent, least and largest."""
+    v = F.col(value)
+    return df.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("deviation"), F.percentile(v, F.lit(0.025)).alias("low"), F.percentile(v, F.lit(0.975)).alias("high"), F.min(v).alias("least"), F.max(v).alias("largest"))

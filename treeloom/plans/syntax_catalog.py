@@ -117,6 +117,17 @@ def facts(spark, sf_dir) -> DataFrame:
     return stored(syntax.facts(programs.program_nodes(spark, sf_dir, read)), "facts")
 
 
+def calls(f: DataFrame) -> DataFrame:
+    """The calls of a table of facts, written once: most matchers join them."""
+    return stored(syntax.calls(f), "calls")
+
+
+def matched(f: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The slow forms' matches, written once, and the calls."""
+    c = calls(f)
+    return stored(syntax.find_slow_forms(f, c), "matches"), c
+
+
 @query(programs.SQL + ' SELECT id, side, idx, parent_idx, depth, subtree_end, name, value, begin_ AS begin_at, end_ AS end_at FROM nodes')
 def program_nodes(spark, sf_dir):
     return programs.program_nodes(spark, sf_dir, read).select("id", "side", "idx", "parent_idx", "depth", "subtree_end", "name", "value", F.col("begin").alias("begin_at"), F.col("end").alias("end_at"))
@@ -160,37 +171,40 @@ def program_strings(spark, sf_dir):
 def program_slow_forms(spark, sf_dir):
     """The ten matchers, with source."""
     f = facts(spark, sf_dir)
-    return syntax.with_snippets(syntax.find_slow_forms(f), f, programs.program_codes(spark, sf_dir, read)).withColumnsRenamed({"begin": "begin_at", "end": "end_at"})
+    return syntax.with_snippets(matched(f)[0], f, programs.program_codes(spark, sf_dir, read)).withColumnsRenamed({"begin": "begin_at", "end": "end_at"})
 
 
 @query(SLOW + " SELECT id, side, string_agg(DISTINCT pattern_id::VARCHAR, ',' ORDER BY pattern_id::VARCHAR) AS patterns FROM slow WHERE pattern_id IN (1, 2, 3, 6, 7, 8, 9) GROUP BY ALL")
 def program_pattern_sets(spark, sf_dir):
-    got = syntax.patterns_of_cut(syntax.find_slow_forms(facts(spark, sf_dir)))
+    got = syntax.patterns_of_cut(matched(facts(spark, sf_dir))[0])
     return got.select("id", "side", F.array_join(F.transform("patterns", lambda p: p.cast("string")), ",").alias("patterns"))
 
 
 @query(AFTER + " SELECT DISTINCT id, side, pattern_id, idx, receiver FROM after_form")
 def program_after_forms(spark, sf_dir):
-    return syntax.find_after_forms(facts(spark, sf_dir)).distinct()
+    f = facts(spark, sf_dir)
+    return syntax.find_after_forms(f, calls(f)).distinct()
 
 
 @query(AFTER + " SELECT id, pattern_id, idx, reason FROM cover")
 def program_base_covered(spark, sf_dir):
     n = facts(spark, sf_dir)
-    return syntax.base_covered(syntax.find_slow_forms(n).select("id", "side", "pattern_id", "idx"), n, programs.actions(n)).select("id", "pattern_id", "idx", "reason")
+    return syntax.base_covered(matched(n)[0].select("id", "side", "pattern_id", "idx"), n, programs.actions(n)).select("id", "pattern_id", "idx", "reason")
 
 
 @query(AFTER + " SELECT s.id, s.pattern_id, s.confidence, s.idx, l.idx IS NOT NULL AS diff_linked, l.diff_reason FROM slow s LEFT JOIN linked l ON l.id = s.id AND l.pattern_id = s.pattern_id AND l.idx = s.idx WHERE s.side = 'base'")
 def program_diff_links(spark, sf_dir):
     f = facts(spark, sf_dir)
-    return syntax.link_matches(syntax.find_slow_forms(f), f, programs.actions(f)).select("id", "pattern_id", "confidence", "idx", "diff_linked", "diff_reason")
+    m, c = matched(f)
+    return syntax.link_matches(m, f, programs.actions(f), c).select("id", "pattern_id", "confidence", "idx", "diff_linked", "diff_reason")
 
 
 @query(AFTER + " SELECT s.pattern_id, count(*) AS n_matches, count(DISTINCT s.id) AS n_records, count(l.idx) AS n_linked, count(DISTINCT l.id) AS n_linked_records FROM slow s LEFT JOIN linked l ON l.id = s.id AND l.pattern_id = s.pattern_id AND l.idx = s.idx WHERE s.side = 'base' GROUP BY ALL")
 def program_link_summary(spark, sf_dir):
     """Per pattern: matches, records, linked ones."""
     f = facts(spark, sf_dir)
-    got = syntax.link_matches(syntax.find_slow_forms(f), f, programs.actions(f))
+    m, c = matched(f)
+    got = syntax.link_matches(m, f, programs.actions(f), c)
     linked = F.col("diff_linked")
     return got.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n_matches"), F.count_distinct("id").alias("n_records"), F.count_if(linked).alias("n_linked"), F.count_distinct(F.when(linked, F.col("id"))).alias("n_linked_records"))
 
@@ -208,7 +222,8 @@ UNION ALL SELECT DISTINCT c.id, c.side, 5, c.idx FROM call c JOIN arg a ON {_on(
 UNION ALL SELECT DISTINCT b.id, b.side, 6, b.idx FROM inner_body b JOIN call c ON {_on("c", "b", "c.idx BETWEEN lo AND hi")} WHERE has_of AND c.method = 'push'"""
 )
 def program_query_hits(spark, sf_dir):
-    return syntax.query_hits(facts(spark, sf_dir))
+    f = facts(spark, sf_dir)
+    return syntax.query_hits(f, calls(f))
 
 
 def _slot_sql(level: int) -> str:
@@ -521,7 +536,8 @@ _LINKS = AFTER + " , m AS (SELECT s.id, s.pattern_id, s.confidence, s.idx, n.beg
 
 def _links(spark, sf_dir) -> DataFrame:
     f = facts(spark, sf_dir)
-    linked = syntax.link_matches(syntax.find_slow_forms(f), f, programs.actions(f))
+    m, c = matched(f)
+    linked = syntax.link_matches(m, f, programs.actions(f), c)
     return linked.join(f.select("id", "side", "idx", F.col("begin").alias("begin_at")), ["id", "side", "idx"])
 
 

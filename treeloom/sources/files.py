@@ -36,6 +36,22 @@ def write_jsonl(df: DataFrame, path: str, order: list[str]) -> None:
     df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").json(path)
 
 
+def write_texts(df: DataFrame, path: str, by: list[str]) -> None:
+    """``value`` as text files, one folder for each combination of ``by``."""
+    df.select(*by, "value").repartition(*by).write.mode("overwrite").partitionBy(*by).text(path)
+
+
+def merge_shards(shards: list[DataFrame], keys: list[str]) -> DataFrame:
+    """One table of all shards; a key in two of them is an error."""
+    out = shards[0]
+    for s in shards[1:]:
+        out = out.unionByName(s)
+    twice = out.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    if twice:
+        raise ValueError("shards overlap")
+    return out
+
+
 def write_scopes(df: DataFrame, path: str, by: str = "scope") -> None:
     """One pass, one folder for each scope."""
     df.write.mode("overwrite").partitionBy(by).parquet(path)
