@@ -524,6 +524,53 @@ def test_licenses_inside_other_words(spark):
     assert [got[k][name].dice for k, name in ((0, "mit"), (1, "apache-2.0-header"), (2, "gpl-3.0-header"), (3, "mpl-2.0"), (3, "mit"))] == [1] * 5
 
 
+def best_license_window(words, template, threshold):
+    """(dice, size, start) of the best window of a template's words by trying all of them; None below the threshold."""
+    high, pairs = (2 - threshold) / threshold + 1e-9, lambda w: list(zip(w, w[1:]))
+    g, bag, span = pairs(words), set(pairs(template)), len(template) - 1
+    limit, last, best = int(span * high), len(g) - span, None
+    hit = [x in bag for x in g] + [False]
+    for i in sorted({min(k, last) for k in range(len(g)) if hit[k] and not (k and hit[k - 1])}):
+        for n in range(span, min(limit, len(g) - i) + 1):
+            if n in (span, limit) or hit[i + n - 1] and not hit[i + n]:
+                part = set(g[i : i + n])
+                found = (2.0 * len(part & bag) / (len(part) + len(bag)), -n, -i)
+                best = max(best, found) if best else found
+    return best if best and best[0] >= threshold else None
+
+
+def test_license_windows_against_all_windows(spark):
+    rng = random.Random(11)
+    seen = 0
+    for length in (7, 12, 40):
+        template = [rng.choice("abcdefghij") + str(k % 9) for k in range(length)]
+        texts = []
+        for _ in range(60):
+            copy = [w if rng.random() < 0.95 else "zz" for w in template]
+            at = rng.randrange(length)
+            pad = [rng.choice(template + ["q", "r"]) for _ in range(rng.randrange(3 * length))]
+            words = pad + copy[:at] + [rng.choice("qrs")] * rng.randrange(3) + copy[at:] + [rng.choice(template) for _ in range(rng.randrange(3 * length))]
+            # a word of its own keeps the whole text, the only unit, from matching
+            texts.append(" ".join([f"own{k}" for k in range(3 * length)] + words))
+        got = {r.doc_id: r.matches for r in licenses.scan_licenses(docs_of(spark, texts), {"t": " ".join(template)}).collect()}
+        for k, text in enumerate(texts):
+            words = text.split(" ")
+            want = best_license_window(words, template, licenses.THRESHOLD)
+            assert [(m.dice, m.unit) for m in got[k]] == ([(want[0], " ".join(words[-want[2] : -want[2] - want[1] + 1]))] if want else []), (length, k)
+            seen += want is not None
+    assert seen > 30
+
+
+def test_license_windows_in_long_prose(spark):
+    whole = re.sub(r"\s+", " ", licenses.TEMPLATES["gpl-3.0-text"]).split()
+    rng = random.Random(3)
+    noisy = " ".join("zz" if rng.random() < 0.03 else w for w in whole)
+    # words of its own keep the whole text, the only unit, from matching
+    text = " ".join([*(f"own{k}" for k in range(9000)), *whole[2500:], noisy, *whole[:2500]])
+    got = {m.license: m.dice for m in licenses.scan_licenses(docs_of(spark, [text + " " + re.sub(r"\s+", " ", licenses.TEMPLATES["mpl-2.0-text"])])).collect()[0].matches}
+    assert got["gpl-3.0-text"] >= 0.9 and got["mpl-2.0-text"] >= 0.99
+
+
 def test_license_anchors_are_in_every_match():
     bags = licenses.template_bags()
     anchors = set(licenses.anchor_words(bags))

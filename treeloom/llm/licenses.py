@@ -12,7 +12,9 @@ the whole text's words, whatever its lines: from the template's length up to
 the upper bound times that length.  A shorter window would need only two thirds
 of the template.  A bigram of the template at either side of a window raises
 its coefficient, so windows start and end where runs of such bigrams do (or at
-the least length, or the text's end); the best window is the match.  It is left
+the least length, or the text's end); the best window is the match.  All
+windows from one start are scored in one pass over the longest of them, so the
+work of a text grows with its starts times the template's length.  It is left
 out if it is a part of a longer notice's match: lies in its unit and shares
 only bigrams that the longer template has too.
 
@@ -41,6 +43,9 @@ from .license_texts import TEXTS
 
 THRESHOLD = 0.8
 
+#: Window starts that are judged together before each is judged by itself.
+START_BLOCK = 64
+
 #: Well-known licence notices, and beginnings of texts (``bsd-opening`` is that of BSD-2 and BSD-3 alike), besides whole texts.
 TEMPLATES = {
     **TEXTS,
@@ -102,6 +107,29 @@ def literal_words(words: list[str]) -> Column:
     return F.split(F.lit("\n".join(words)), "\n", -1)
 
 
+def gram_groups(grams: Column) -> Column:
+    """Array of (``gram``, ``at``: its places from 1, ascending) of every distinct gram of a non-empty array."""
+
+    def grouped(s: Column) -> Column:
+        gram = lambda j: F.get(s, j)["gram"]
+        firsts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda j: ~gram(j).eqNullSafe(gram(j - 1)))
+        places = lambda j, end: F.transform(F.slice(s, j + 1, end - j), lambda x: x["k"])
+        return let(firsts, lambda f: F.transform(f, lambda j, r: F.struct(gram(j).alias("gram"), places(j, F.coalesce(F.get(f, r + 1), F.size(s))).alias("at"))))
+
+    return let(F.sort_array(F.transform(grams, lambda x, k: F.struct(x.alias("gram"), (k + 1).alias("k")))), grouped)
+
+
+def gram_places(groups: Column, bag: Column) -> Column:
+    """(``k``, ``before``: the place of the same gram before it or 0, ``hit``: in ``bag``) of every place, in order.
+
+    Groups and bag are merged by sorting: a group's gram is in the bag if the same gram stands before it.
+    """
+    merged = F.sort_array(F.concat(F.transform(bag, lambda x: F.struct(x.alias("gram"), F.lit(-1).alias("r"))), F.transform(groups, lambda x, r: F.struct(x["gram"].alias("gram"), r.alias("r")))))
+    told = let(merged, lambda m: F.transform(m, lambda x, j: F.struct(x["r"].alias("r"), x["gram"].eqNullSafe(F.get(m, j - 1)["gram"]).alias("hit"))))
+    spread = lambda at, hit: F.transform(at, lambda k, j: F.struct(k.alias("k"), F.coalesce(F.get(at, j - 1), F.lit(0)).alias("before"), hit.alias("hit")))
+    return F.sort_array(F.flatten(F.transform(F.filter(told, lambda x: x["r"] >= 0), lambda x: spread(F.get(groups, x["r"])["at"], x["hit"]))))
+
+
 def normalised(text: Column) -> Column:
     return F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), _SEPARATORS, " ")
 
@@ -142,16 +170,42 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
         """(``dice``, -``size``, -``start``) of the template's best window, null without one."""
         last = n_grams - t["span"] + 1
         limit = F.floor(t["span"] * F.lit(high)).cast("int")
-
-        def from_runs(at: Column) -> Column:
-            starts = F.array_distinct(F.transform(F.filter(at, lambda k: ~F.array_contains(at, k - 1)), lambda k: F.least(k, last)))
-            # a start counts if the longest window from it shares enough
-            starts = F.filter(starts, lambda k: F.size(F.array_intersect(F.slice(g, k, limit), t["bag"])) >= t["n"] * F.lit(low))
-            ends = F.filter(at, lambda k: ~F.array_contains(at, k + 1))
-            sized = lambda i: F.array_distinct(F.concat(F.array(t["span"]), F.filter(F.transform(ends, lambda e: e - i + 1), lambda n: (n > t["span"]) & (n <= limit)), F.filter(F.array(limit), lambda n: i + n - 1 <= n_grams)))
-            return F.array_max(F.flatten(F.transform(starts, lambda i: F.transform(sized(i), lambda n: F.struct(let(F.array_distinct(F.slice(g, i, n)), lambda b: dice(b, t)).alias("dice"), (-n).alias("size"), (-i).alias("start"))))))
-
-        return let(F.filter(F.sequence(F.lit(1), n_grams), lambda k: F.array_contains(t["bag"], F.get(g, k - 1))), from_runs)
+        need = F.ceil(t["n"] * F.lit(low)).cast("int")
+
+        def from_places(places: Column) -> Column:
+            new = lambda i, size: F.filter(F.slice(places, i, size), lambda x: x["before"] < i)
+            shared = lambda i, size: F.size(F.filter(new(i, size), lambda x: x["hit"]))
+
+            def starts(at: Column) -> Column:
+                opens = lambda k, r: ~F.get(at, r - 1).eqNullSafe(k - 1)
+                early = F.filter(at, lambda k, r: (k < last) & opens(k, r) & (F.get(at, r + need - 1) < k + limit))
+                late = F.filter(at, lambda k, r: (k >= last) & opens(k, r))
+                return F.concat(early, F.transform(F.slice(late, 1, 1), lambda k: last))
+
+            def from_start(i: Column) -> Column:
+                def step(a: Column, x: Column) -> Column:
+                    size, fresh = x["k"] - i + 1, x["before"] < i
+                    d, s = a["d"] + fresh.cast("int"), a["s"] + (fresh & x["hit"]).cast("int")
+                    ends = (size == t["span"]) | (size == limit) | (x["hit"] & ~F.coalesce(F.get(places, x["k"])["hit"], F.lit(False)))
+                    score = F.struct((F.lit(2.0) * s / (d + t["n"])).alias("dice"), (-size).alias("size"))
+                    return F.struct(d.alias("d"), s.alias("s"), F.when(ends, F.greatest(a["best"], score)).otherwise(a["best"]).alias("best"))
+
+                # every window from here holds the span's first grams, so those are only counted
+                head = t["span"] - 1
+                none = F.lit(None).cast("struct<dice:double,size:int>")
+                zero = F.struct(F.size(new(i, head)).alias("d"), shared(i, head).alias("s"), none.alias("best"))
+                best = F.aggregate(F.slice(places, i + head, limit - head), zero, step, lambda a: a["best"])
+                return let(best, lambda w: F.struct(w["dice"].alias("dice"), w["size"].alias("size"), (-i).alias("start")))
+
+            def from_starts(st: Column) -> Column:
+                # no start of a block shares enough if the windows of all together don't; then each is judged by its longest window
+                blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(st) - 1, F.lit(0)), F.lit(START_BLOCK)), lambda b: F.slice(st, b + 1, START_BLOCK))
+                able = F.filter(blocks, lambda b: shared(F.get(b, F.lit(0)), F.get(b, F.size(b) - 1) - F.get(b, F.lit(0)) + limit) >= need)
+                return F.array_max(F.transform(F.filter(F.flatten(able), lambda i: shared(i, limit) >= need), from_start))
+
+            return let(F.transform(F.filter(places, lambda x: x["hit"]), lambda x: x["k"]), lambda at: let(starts(at), from_starts))
+
+        return let(gram_places(F.col("groups"), t["bag"]), from_places)
 
     # the templates that no unit matches and of which the text holds enough bigrams, for the sought ones only
     sought = F.filter(
@@ -161,7 +215,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
         & ~F.exists("by_unit", lambda m: m["license"] == t["id"])
         & (F.size(F.array_intersect(F.col("known"), t["bag"])) >= t["n"] * F.lit(low)),
     )
-    windows = F.filter(F.transform(sought, lambda t: F.struct(t.alias("t"), best_window(t).alias("best"))), lambda x: x["best"]["dice"] >= threshold)
+    windows = F.filter(F.transform("sought", lambda t: F.struct(t.alias("t"), best_window(t).alias("best"))), lambda x: x["best"]["dice"] >= threshold)
     found = F.transform(
         windows, lambda x: F.struct(x["t"]["id"].alias("license"), x["best"]["dice"].alias("dice"), F.array_join(F.slice(all_words, -x["best"]["start"], F.lit(1) - x["best"]["size"]), " ").alias("unit"))
     )
@@ -184,6 +238,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
         .withColumn("all_words", F.filter(F.split(norm, r"[ \n]+", -1), lambda w: w != ""))
         .withColumn("grams", F.when(F.size(all_words) >= 2, grams(all_words)).otherwise(empty))
         .withColumn("known", F.when(n_grams > 0, F.array_intersect(g, known)).otherwise(empty))
+        .withColumn("sought", sought)
+        .withColumn("groups", F.when((F.size("sought") > 0) & (n_grams > 0), gram_groups(g)))
         .withColumn("by_window", found)
         .select("doc_id", F.concat("by_unit", own).alias("matches"))
     )
