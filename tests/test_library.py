@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from treeloom.functions import markup, values
-from treeloom.operators import generalize, patterns, scoring, similarity, statistics, trees
+from treeloom.operators import generalize, ingest, patterns, scoring, similarity, statistics, trees
 
 
 def test_jaccard_contract(spark):
@@ -257,3 +257,63 @@ def test_stream_upsert(spark, tmp_path):
     q = upsert.upsert_stream(stream, str(tmp_path / "out"), str(tmp_path / "ck"), ["k"], "at")
     q.awaitTermination(60)
     assert {(r.k, r.v) for r in upsert.read_version(spark, str(tmp_path / "out"), 0).collect()} == {(1, "b"), (2, "c")}
+
+
+def test_addresses_and_ids(spark):
+    paths = spark.createDataFrame([("a/b/12/",), ("a",), ("12",), ("a/1x",), ("",), (None,), ("a/99999999999999999999",)], "p string")
+    got = [r[0] and tuple(r[0]) for r in paths.select(ingest.slug_revision(F.col("p"))).collect()]
+    assert got == [("a/b", 12), ("a", 1), ("12", 1), ("a/1x", 1), ("", 1), None, ("a", None)]
+    names = spark.createDataFrame([("block_slow_12",), ("x/slow_3.js",), ("xslow_4",), ("slow_1_slow_2",), ("fast",), (None,)], "n string")
+    assert [r[0] for r in names.select(ingest.slow_id(F.col("n"))).collect()] == [12, 3, 4, 2, None, None]
+    maps = spark.createDataFrame([({"a": "x", "b": None},), (None,)], "m map<string,string>")
+    assert [r[0] and (len(r[0]["a"]), r[0]["b"]) for r in maps.select(ingest.hashed(F.col("m"))).collect()] == [(64, None), None]
+
+
+def test_snippets(spark):
+    files = spark.createDataFrame([("a.js", "one\r\ntwo\rthree\n"), ("empty.js", ""), ("null.js", None), ("blank.js", "x\n\n")], "path string, value string")
+    cases = {
+        ("a.js", 1, 1): "one",
+        ("/a.js", 2, 3): "two\nthree",
+        ("a.js", 3, 4): ingest.NO_LINES,
+        ("a.js", 0, 1): ingest.NO_LINES,
+        ("a.js", 3, 2): "",
+        ("empty.js", 1, 1): ingest.NO_LINES,
+        ("null.js", 1, 0): "",
+        ("blank.js", 1, 2): "x\n",
+        ("b.js", 1, 1): ingest.NO_FILE,
+        ("build/a.js", 1, 1): ingest.SKIPPED,
+        ("/build/a.js", 1, 1): ingest.NO_FILE,
+        (None, 1, 1): ingest.NO_FILE,
+    }
+    df = spark.createDataFrame([(*k, "kept") for k in cases], "file_path string, start_line int, end_line int, value string")
+    got = ingest.with_snippets(df, files)
+    assert got.columns == ["file_path", "start_line", "end_line", "value", "code_snippet"]
+    assert {tuple(r)[:3]: r.code_snippet for r in got.collect()} == cases
+
+
+def test_single_difference(spark):
+    def plain(a, b):
+        shorter, p, s = min(len(a), len(b)), 0, 0
+        while p < shorter and a[p] == b[p]:
+            p += 1
+        while s < shorter - p and a[-1 - s] == b[-1 - s]:
+            s += 1
+        left = [x[p : len(x) - s] for x in (a, b)]
+        return p, s, all(len(x) == 1 and x[0].islower() for x in left)
+
+    import itertools
+
+    sides = [list(x) for n in range(4) for x in itertools.product("aB", repeat=n)]
+    rows = [(a, b) for a in sides for b in sides]
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>")
+    typed = lambda c: F.transform(c, lambda t: F.struct(t.alias("text"), F.when(F.lower(t) == t, "ExpressionStatement").otherwise("Block").alias("type")))
+    got = df.select("a", "b", ingest.single_difference(typed(F.col("a")), typed(F.col("b"))).alias("d")).collect()
+    assert [tuple(r.d) for r in got] == [plain(r.a, r.b) for r in got]
+
+
+def test_outcomes(spark):
+    before = spark.createDataFrame([(1, True), (2, False), (3, True), (4, True)], "k int, ok boolean")
+    after = spark.createDataFrame([(1, True), (2, True), (3, False), (5, True), (6, None)], "k int, ok boolean")
+    assert tuple(ingest.outcome_changes(before, after, ["k"]).first()) == (2, 1)
+    results = spark.createDataFrame([(["a", "b"], True), (["a"], False), ([], True), (None, True)], "libs array<string>, ok boolean")
+    assert sorted(map(tuple, ingest.involvement(results, "libs").collect())) == [("a", 2, 1), ("b", 1, 1)]

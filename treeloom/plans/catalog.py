@@ -504,4 +504,4 @@ def vector_cosine_by_label(spark, sf_dir):
     return e.join(F.broadcast(probe)).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(cos), 5).alias("mean_cosine"))
 
 
-from . import group_catalog, syntax_catalog  # noqa: E402, F401  (register their queries)
+from . import group_catalog, ingest_catalog, syntax_catalog  # noqa: E402, F401  (register their queries)
