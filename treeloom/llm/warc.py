@@ -267,7 +267,7 @@ def convert_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Pages through legacy archives into WARC files in the shared folder, read back."""
     spark = pages.sparkSession
     path = new_path(spark, "arc")
-    pages_to_arc(pages).write.option("compression", "none").parquet(path)
+    pages_to_arc(pages).write.option("compression", "zstd").parquet(path)
     archives = spark.read.schema(_ARCHIVES).parquet(path)
     records = written(digests(archives), "arc-digests")
     path = new_path(spark, "warc")
