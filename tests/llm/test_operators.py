@@ -259,6 +259,16 @@ def test_suffix_dedup_against_brute_force(spark):
     assert [r.n_removed for r in suffixes.remove_repeats(docs_of(spark, [part, part], [None, 1])).collect()] == [0, 0]
 
 
+def test_suffix_hashes_are_dealt_once(spark, monkeypatch):
+    # the shards' answers are written before they are read by two steps, so blocks don't send their hashes twice
+    labels, write = [], suffixes.written
+    monkeypatch.setattr(suffixes, "written", lambda df, label: labels.append((label, df._jdf.queryExecution().toString().count("FlatMapGroupsInPandas"))) or write(df, label))
+    suffixes.remove_repeats(docs_of(spark, ["a" * 60, "a" * 60]))
+    assert [x for x, _ in labels] == ["suffix-masks", "suffix-verdicts"]
+    # one grouped step in each of the plan's four forms: neither table is made from the other's lineage
+    assert [n for _, n in labels] == [4, 4]
+
+
 def test_suffix_array():
     import numpy as np
 

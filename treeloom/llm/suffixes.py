@@ -129,7 +129,12 @@ def _deal(j: np.ndarray, c: np.ndarray, pend: list[list[np.ndarray]]) -> None:
 
 
 def _join(parts: list[np.ndarray]) -> np.ndarray:
-    return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.int32)
+
+
+def _places(n: int) -> type:
+    """The type that places in a string of ``n`` symbols fit in."""
+    return np.int32 if n < 2**31 - 2 else np.int64
 
 
 def _induce(t: np.ndarray, symbols: np.ndarray, lms: np.ndarray) -> np.ndarray:
@@ -140,7 +145,7 @@ def _induce(t: np.ndarray, symbols: np.ndarray, lms: np.ndarray) -> np.ndarray:
     size = int(symbols[-1]) + 1
     by = np.searchsorted(t[lms], np.arange(size + 1))
     pend: list[list[np.ndarray]] = [[] for _ in range(size)]
-    pend[t[-1]].append(np.array([len(t) - 1]))
+    pend[t[-1]].append(np.array([len(t) - 1], lms.dtype))
     larger: dict[int, np.ndarray] = {}
     for c in symbols.tolist():
         seq = pend[c]
@@ -181,7 +186,7 @@ def _settled(first: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
     A tie is refined by what is known of the next place, again and again, so a run of places that wait for one another is settled step
     by step from its end.
     """
-    rank = np.full(n + 1, -1, np.int64)
+    rank = np.full(n + 1, -1, places.dtype)
     by = np.argsort(first, kind="stable")
     order, key = places[by], first[by]
     head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -190,7 +195,7 @@ def _settled(first: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
     live = np.flatnonzero(np.repeat(size > 1, size))
     while len(live):
         at = order[live]
-        key = rank[at] * (n + 2) + rank[np.minimum(at + 1, n)] + 1
+        key = rank[at] * np.int64(n + 2) + rank[np.minimum(at + 1, n)] + 1
         by = np.argsort(key, kind="stable")
         at, key = at[by], key[by]
         order[live] = at
@@ -212,14 +217,14 @@ def _induce_at_once(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray) -> np.n
     sort_of = 2 * t.astype(np.int64)
     known = np.zeros(n, np.int64)
     known[lms] = np.arange(1, len(lms) + 1)
-    larger = np.flatnonzero(~smaller)
+    larger = np.flatnonzero(~smaller).astype(lms.dtype)
     places = np.concatenate([larger, lms])
     first = np.concatenate([sort_of[larger] * top, (sort_of[lms] + 1) * top + known[lms]])
     order = _settled(first, places, n)
     order = order[~smaller[order]]
     known[:] = 0
     known[order] = np.arange(1, len(order) + 1)
-    rest = np.flatnonzero(smaller)
+    rest = np.flatnonzero(smaller).astype(lms.dtype)
     places = np.concatenate([order, rest])
     first = np.concatenate([sort_of[order] * top + known[order], (sort_of[rest] + 1) * top])
     return _settled(first, places, n)
@@ -229,19 +234,20 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     """The suffix array of a string of symbols (the end counts as smaller than any symbol), by induced sorting."""
     n = len(t)
     if n < 2:
-        return np.arange(n)
+        return np.arange(n, dtype=_places(n))
     symbols = np.unique(t)
     # a suffix is smaller than the next where the next different symbol is larger
-    step = np.r_[np.sign(t[1:].astype(np.int64) - t[:-1]), -1]
-    nxt = np.minimum.accumulate(np.where(step != 0, np.arange(n), n)[::-1])[::-1]
-    smaller = step[nxt] > 0
+    kind = _places(n)
+    up = np.r_[t[1:] > t[:-1], False]
+    apart = np.r_[t[1:] != t[:-1], True]
+    smaller = up[np.minimum.accumulate(np.where(apart, np.arange(n, dtype=kind), kind(n))[::-1])[::-1]]
     # the same induction in two forms: bucket by bucket, or all places of a type at once where there are many buckets
     induce = (lambda at: _induce(t, symbols, at)) if len(symbols) <= 1024 else (lambda at: _induce_at_once(t, smaller, at))
-    lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]).astype(kind) + kind(1)
     if len(lms) > 1:
         first = induce(lms[np.argsort(t[lms], kind="stable")])
-        mark = np.full(n, -1, np.int64)
-        mark[lms] = np.arange(len(lms))
+        mark = np.full(n, -1, kind)
+        mark[lms] = np.arange(len(lms), dtype=kind)
         order = mark[first]
         order = order[order >= 0]
         # names: adjacent substrings (up to and with the next leftmost smaller place) are compared symbol by symbol
@@ -257,7 +263,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
             same[live[diff]] = False
             live = live[~diff]
             d += 1
-        name = np.empty(len(lms), np.int64)
+        name = np.empty(len(lms), kind)
         name[order] = np.r_[0, np.cumsum(~same)]
         lms = lms[order] if name.max() == len(lms) - 1 else lms[suffix_array(name)]
     return induce(lms)
@@ -271,9 +277,9 @@ def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int, begin: np.ndarra
     no further than to the next such place.
     """
     n = len(t)
-    phi = np.full(n, -1, np.int64)
+    phi = np.full(n, -1, sa.dtype)
     phi[sa[1:]] = sa[:-1]
-    i = np.arange(n)
+    i = np.arange(n, dtype=sa.dtype)
     irreducible = (i == 0) | (phi <= 0) | (np.roll(phi, 1) < 0)
     at = i[~irreducible]
     irreducible[at] = t[at - 1] != t[phi[at] - 1]
@@ -367,10 +373,9 @@ def _judged(pdf: pd.DataFrame) -> pd.DataFrame:
         cut = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         low = np.minimum.reduceat(least[cell // SPAN], cut)
         first[cell] = np.repeat(low, np.diff(np.r_[cut, len(group)]))
-    bits = np.zeros(len(rows), np.uint32)
-    first = first.reshape(-1, SPAN)
-    for k in range(SPAN):
-        bits |= (first[back, k] < docs).astype(np.uint32) << np.uint32(k)
+    taken = np.zeros((len(rows), 32), bool)
+    taken[:, :SPAN] = first.reshape(-1, SPAN)[back] < docs[:, None]
+    bits = np.packbits(taken, axis=1, bitorder="little").view("<u4").ravel()
     ends = np.cumsum([len(p) for p in parts])
     return pd.DataFrame({"block": pdf.block, "shard": pdf.shard, "bits": [x.tobytes() for x in np.split(bits, ends[:-1])]})
 
@@ -472,7 +477,7 @@ def remove_repeats(docs: DataFrame, shards: int | None = None, block_bytes: int
                 yield pa.RecordBatch.from_arrays([pa.array([r["block"]] * len(shard), pa.int64()), pa.array(shard, pa.int32()), pa.array(blob, pa.binary())], names=["block", "shard", "hashes"])
 
     masks = blocks.mapInArrow(hashes, "block long, shard int, hashes binary").groupBy("shard").applyInPandas(_shared, "block long, shard int, mask binary")
-    masks = masks.groupBy("block").agg(F.collect_list(F.struct("shard", "mask")).alias("masks"))
+    masks = written(masks.groupBy("block").agg(F.collect_list(F.struct("shard", "mask")).alias("masks")), "suffix-masks")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=3)
@@ -495,7 +500,6 @@ def remove_repeats(docs: DataFrame, shards: int | None = None, block_bytes: int
     sent = blocks.join(masks, "block").select("block", "ids", "sizes", "z", "masks").mapInArrow(send, "block long, shard int, docs binary, sizes binary, snippets binary")
     verdicts = sent.groupBy("shard").applyInPandas(_judged, "block long, shard int, bits binary")
     verdicts = written(verdicts.groupBy("block").agg(F.collect_list(F.struct("shard", "bits")).alias("verdicts")), "suffix-verdicts")
-    known = written(masks, "suffix-masks")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -512,6 +516,13 @@ def remove_repeats(docs: DataFrame, shards: int | None = None, block_bytes: int
                     # beside the block's smallest holder every other one loses the whole snippet
                     mine[doc > least[own]] = np.uint32(0x7FFFFFFF)
                     first, strings = b.first[pick], b.last[pick] - b.first[pick] + 1
+                    # most snippets lose all their strings, which is one run; the others go string by string
+                    every = (np.uint32(1) << strings.astype(np.uint32)) - np.uint32(1)
+                    whole = mine & every == every
+                    np.add.at(gone, first[whole], 1)
+                    np.add.at(gone, first[whole] + strings[whole] - 1 + LENGTH, -1)
+                    some = ~whole & (mine & every > 0)
+                    first, strings, mine = first[some], strings[some], mine[some]
                     for k in range(SPAN):
                         at = first[(strings > k) & (mine >> np.uint32(k) & np.uint32(1) > 0)] + k
                         np.add.at(gone, at, 1)
@@ -529,5 +540,5 @@ def remove_repeats(docs: DataFrame, shards: int | None = None, block_bytes: int
                     cols["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
                 yield pa.RecordBatch.from_pydict(cols, pa.schema([("doc_id", pa.int64()), ("kept", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]))
 
-    both = known.join(verdicts, "block", "left")
+    both = masks.join(verdicts, "block", "left")
     return blocks.join(both, "block", "left").select("block", "ids", "sizes", "z", "masks", "verdicts").mapInArrow(remove, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
