@@ -330,6 +330,14 @@ def test_warc_files_are_bounded(spark, monkeypatch, tmp_path):
     assert warc.read_warc(spark, str(tmp_path / "w")).count() == 100
 
 
+def test_warc_files_are_compressed(spark, tmp_path):
+    pages = [f"<p>{k}</p>" * 2000 for k in range(20)]
+    archives = warc.pages_to_arc(spark.createDataFrame([(k, "u", h) for k, h in enumerate(pages)], "page_id long, url string, html string")).cache()
+    warc.write_warc(archives, warc.revisits(warc.digests(archives), 20), str(tmp_path / "w"))
+    assert sum(p.stat().st_size for p in (tmp_path / "w").glob("part-*")) < sum(map(len, pages)) / 10
+    assert sorted((r.page_id, bytes(r.payload).decode()) for r in warc.read_warc(spark, str(tmp_path / "w")).collect()) == list(enumerate(pages))
+
+
 def test_arc_versions():
     for v in (1, 2):
         data = warc.arc_block(v, "n") + warc.arc_record(v, "n", b"http://x/ y", "20010909014640", b"a\nb", 9) + warc.arc_record(v, "n", b"", "20010909014640", b"", 9)

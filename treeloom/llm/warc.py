@@ -18,8 +18,8 @@ archive, and no digest draws them together.
 WARC files are written with Spark's text sink (records end with CRLF CRLF, which
 is the line separator; a row is the records of one archive), so any file system
 that Spark writes works, and read back whole through the ``binaryFile`` source,
-record by record by ``Content-Length``.  A file holds ``FILE_ARCHIVES`` archives at
-most, which bounds its bytes unless single pages are giant.
+record by record by ``Content-Length``.  Files are compressed as a whole (``.gz``).  A file holds
+``FILE_ARCHIVES`` archives at most, which bounds its bytes unless single pages are giant.
 
 Edge cases: null html is an empty payload and null url an empty one; spaces and
 control characters in a URL are percent-encoded; of records with equal payloads
@@ -31,6 +31,7 @@ columns are not read; an empty table gives an empty archive.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -223,7 +224,7 @@ def write_warc(archives: DataFrame, found: DataFrame, path: str) -> None:
                 yield pa.RecordBatch.from_pydict({"value": ["\r\n\r\n".join(warc_record(r, refers.get(k)) for k, r in enumerate(rows))]}, pa.schema([("value", pa.string())]))
 
     joined = archives.join(by_archive, F.col("archive") == F.col("of"), "left").select("archive", "page_ids", "z", "revisits")
-    joined.mapInArrow(work, "value string").write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_ARCHIVES).text(path)
+    joined.mapInArrow(work, "value string").write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_ARCHIVES).option("compression", "gzip").text(path)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -250,7 +251,7 @@ def read_warc(spark, path: str) -> DataFrame:
         for pdf in batches:
             for data in pdf.content:
                 rows = []
-                for head, block in parse_warc(data):
+                for head, block in parse_warc(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                     digest = head["warc-payload-digest"].removeprefix("sha1:")
                     stored = head["warc-type"] == "response"
                     if stored and (payload_digest(block) != digest or len(block) != int(head["x-payload-length"])):
